@@ -11,10 +11,10 @@ from slabscan.llm.common import drop_path, shared_dir, stored
 def _star(pairs: DataFrame) -> DataFrame:
     """Each row (x, y) with ``low``: the smallest of x and all its y.
 
-    The minima are aggregated before they shuffle, and a hub's many rows meet
-    one row of them, which a skew join splits.
+    The minima are aggregated before they shuffle and then written, so a hub's
+    many rows meet one row in a join that can be split where it is skewed.
     """
-    low = pairs.groupBy("x").agg(F.min("y").alias("low"))
+    low = stored(pairs.groupBy("x").agg(F.min("y").alias("low")))
     return pairs.join(low.hint("merge"), "x").select("x", "y", F.least("x", "low").alias("low"))
 
 

@@ -86,8 +86,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = flagged.where("not maybe_repeated").select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), hexed)
     again = flagged.where("maybe_repeated").select("_id", "digest", "_row")
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    groups = again.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first"))
-    # A hot digest is one row of `groups`; its many rows on the other side are what a skew join splits.
+    # A hot digest is one row of the written groups, so its many rows on the other side can be split as a skewed join.
+    groups = stored(again.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first")))
     told = again.join(groups.hint("merge"), "digest").select(F.col("_id").alias(id_col), F.col("_first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first.row")).alias("kept"), hexed)
     return once.unionByName(told)
 

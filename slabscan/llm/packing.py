@@ -11,7 +11,9 @@ block's number of windows rises and the differencing runs again.
 
 from __future__ import annotations
 
+import base64
 import heapq
+import os
 import re
 import zlib
 
@@ -27,51 +29,48 @@ CAPACITY = 2048
 PIECE_TOKENS = 512
 BLOCK_PIECES = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-#: A space that does not open a word; texts that have one are encoded whole.
-_LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+#: Fixed value: the pattern that splits text before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters on whose class the two encoders might not agree: all but plain ASCII, Latin letters and common punctuation.
+ODD = "[^\t\n\r -~\u00a1-\u024f\u2010-\u2027\u20ac]"
 
-class WordCache:
-    """Ids of whole texts, put together from those of their space-opened words.
 
-    The byte-level pre-tokeniser always starts a token at a space that a
-    non-space follows, so the words of such a text can be encoded apart.
+class TokenIds:
+    """Little-endian unsigned 32-bit ids of texts, as the tokeniser file has them.
+
+    Texts of plain characters go through the rank encoder when ``ranks_path``
+    names the same vocabulary as ranks: it gives the same ids several times
+    faster.  All others, and any with a special token's text, go through the
+    tokeniser itself.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = CACHE_WORDS):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str = PATTERN):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.limit = limit
-        self.words: dict[str, bytes] = {}
+        self.ranks = None
+        if ranks_path:
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD, *special]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if _LOOSE_SPACE.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        if whole:
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        rest = sorted(set(range(len(texts))) - set(whole))
-        # A text's first word has no space before it; the others are cached with theirs.
-        split = [texts[i].split(" ") for i in rest]
-        heads = self._encode([s[0] for s in split])
-        if len(self.words) > self.limit:
-            self.words.clear()
-        missing = set().union(*(s[1:] for s in split)) - self.words.keys() if split else set()
-        if missing:
-            order = list(missing)
-            self.words.update(zip(order, self._encode([f" {w}" for w in order]), strict=True))
-        get = self.words.__getitem__
-        for i, s, head in zip(rest, split, heads, strict=True):
-            out[i] = head + b"".join(map(get, s[1:]))
+        if self.ranks is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for text in texts:
+            if self.odd.search(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
         return out
 
 
@@ -82,16 +81,16 @@ def cuts(n: int, capacity: int, piece_tokens: int) -> list[tuple[int, int]]:
     return out + [(s, min(piece_tokens, n - s)) for s in range(full, n, piece_tokens)]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
     """A row for each piece of each document, with the checksum of its ids."""
 
     def run(batches):
-        cache = WordCache(tokenizer_path)
+        ids_of = TokenIds(tokenizer_path, ranks_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for part in split_batch(batch, "text", 4 << 20):
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), cache([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, piece_tokens)]
@@ -157,14 +156,14 @@ def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         step += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece_tokens: int = PIECE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece_tokens: int = PIECE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have the end id alone.  Rows that share a doc_id, or
     have none, are packed as documents of their own.  Other columns are
     ignored, and an empty table gives no rows.
     """
-    pieces = stored(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, piece_tokens).withColumn("_row", F.monotonically_increasing_id()))
+    pieces = stored(token_pieces(docs, tokenizer_path, ranks_path, id_col, text_col, capacity, piece_tokens).withColumn("_row", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block_pieces))

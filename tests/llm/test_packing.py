@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from slabscan.llm import queries
-from slabscan.llm.packing import CAPACITY, WordCache, cuts, differencing, pack, pack_block
+from slabscan.llm.packing import CAPACITY, TokenIds, cuts, differencing, pack, pack_block
 
 TEXTS = ["", None, "a b", " lead", "trail ", "two  spaces", "x \n y", "a b  c", "it's <|endoftext|> here", "tab\t x", "naïve 日本 語 🙂 x", "word " * 9000, "z" * 50_000]
 
@@ -16,11 +16,14 @@ def reference(text):
     return Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_word_cache():
-    cache = WordCache(queries.tokenizer_file("byte_bpe_50k.json"), limit=2)
-    for _ in range(2):
-        for text, ids in zip(TEXTS, cache([t or "" for t in TEXTS]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == reference(text)[:-1]
+@pytest.mark.parametrize("ranks", [None, "byte_bpe_50k.tiktoken"])
+def test_ids(spark, ranks):
+    ids_of = TokenIds(queries.tokenizer_file("byte_bpe_50k.json"), ranks and queries.tokenizer_file(ranks))
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = ["a\x85b \x1c c", "\u200b x\u3000y", "½ ² x²", "don't 'S 'll", "a\xa0b", "ǅ ʰ ª º µ", "\r\n\r\n x"]
+    texts = [*TEXTS, *more, *odd]
+    for text, ids in zip(texts, ids_of([t or "" for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference(text)[:-1]
 
 
 def test_differencing_is_close_to_equal():
@@ -61,7 +64,7 @@ def check_pieces(rows, ids_of):
 
 def test_pack(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, _row int").repartition(3)
-    rows = pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), block_pieces=5).collect()
+    rows = pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("byte_bpe_50k.tiktoken"), block_pieces=5).collect()
     found, _ = check_pieces(rows, lambda i: reference(TEXTS[i]))
     assert sorted(found) == list(range(len(TEXTS)))
     again = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")

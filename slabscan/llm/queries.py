@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slabscan.llm.exact_dedup import exact_dedup
 from slabscan.llm.packing import pack
+from slabscan.llm import toxicity
 from slabscan.llm.url_filter import filter_urls
 from slabscan.llm.warc import archive
 
@@ -28,6 +30,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_read(spark, sf_dir, "pages"), min_payload_bytes=0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 

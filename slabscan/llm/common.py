@@ -99,10 +99,14 @@ class PowerTable:
         return out
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """S with hash(a, b) = (S[b] - S[a]) * down[a]; equal substrings have equal hashes anywhere."""
-        self.reach(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(mix_bytes(data) * self.up[: len(data)], out=out[1:])
+        """``prefix_of`` for bytes."""
+        return self.prefix_of(_BYTES[data])
+
+    def prefix_of(self, values: np.ndarray) -> np.ndarray:
+        """S with hash(a, b) = (S[b] - S[a]) * down[a]; equal subsequences have equal hashes anywhere."""
+        self.reach(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out
 
     def window(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -112,8 +116,4 @@ class PowerTable:
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def mix_bytes(data: np.ndarray) -> np.ndarray:
-    return _BYTES[data]
-
-
 POWERS = PowerTable()

@@ -1,8 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Token weights are log-odds between toxic and clean labelled documents with an
-informative Dirichlet prior, reduced by ``Z`` standard deviations towards
-zero.  Every token also costs a drift, so clean text scores below zero.  A
+informative Dirichlet prior, reduced by some standard deviations towards zero.  Every token also costs a drift, so clean text scores below zero.  A
 linear scan finds all maximal scoring segments of a document.  Their scores
 are calibrated by the extreme-value law of segment scores in clean text: of m
 tokens, segments of score s or more are expected K m exp(-lambda s) times.
@@ -30,8 +29,10 @@ WORD = re.compile(r"\w+")
 TRAIN_ROWS = 400_000
 VOCABULARY = 20_000
 MIN_TOXIC_DOCS = 3
-PRIOR = 1000.0
+PRIOR_SHARE = 0.005
+#: Weights are reduced by so many standard deviations at least, and by this share of the strongest tokens' significance.
 Z = 2.0
+Z_SHARE = 0.7
 LARGEST = 10.0
 DRIFT = 0.3
 SIGNIFICANT = 0.05
@@ -148,12 +149,17 @@ def _weights(counts: DataFrame) -> tuple[dict[str, float], dict[str, int], int]:
     n_toxic, n_clean, used = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("toxic_docs", "clean_docs", "in_clean"))).first()
     if not n_toxic or not n_clean:
         return {}, {}, 0
-    prior = F.lit(PRIOR / (n_toxic + n_clean)) * (F.col("toxic_docs") + F.col("clean_docs"))
+    mass = max(1000.0, PRIOR_SHARE * (n_toxic + n_clean))
+    prior = F.lit(mass / (n_toxic + n_clean)) * (F.col("toxic_docs") + F.col("clean_docs"))
     a, b = F.col("toxic_docs") + prior, F.col("clean_docs") + prior
-    odds = F.log(a / (F.lit(n_toxic + PRIOR) - a)) - F.log(b / (F.lit(n_clean + PRIOR) - b))
+    odds = F.log(a / (F.lit(n_toxic + mass) - a)) - F.log(b / (F.lit(n_clean + mass) - b))
     spread = F.sqrt(1 / a + 1 / b)
-    shrunk = F.signum(odds) * F.greatest(F.abs(odds) - Z * spread, F.lit(0.0))
-    weighed = counts.where(F.col("toxic_docs") >= MIN_TOXIC_DOCS).withColumn("w", F.least(shrunk, F.lit(LARGEST))).where("abs(w) > 0.05")
+    able = counts.where(F.col("toxic_docs") >= MIN_TOXIC_DOCS).withColumns({"odds": odds, "spread": spread})
+    # Copies of a wrongly labelled text make all its words significant, the more the larger the data; so the bar is relative.
+    strongest = [r.z for r in able.select((F.col("odds") / F.col("spread")).alias("z")).orderBy(F.desc("z")).limit(5).collect()]
+    bar = max(Z, Z_SHARE * sum(strongest) / max(len(strongest), 1))
+    shrunk = F.signum("odds") * F.greatest(F.abs("odds") - bar * F.col("spread"), F.lit(0.0))
+    weighed = able.withColumn("w", F.least(shrunk, F.lit(LARGEST))).where("abs(w) > 0.05")
     top = weighed.orderBy(F.desc(F.abs("w")), "token").limit(VOCABULARY).select("token", "w", "in_clean").collect()
     return {r.token: r.w for r in top}, {r.token: r.in_clean for r in top}, used
 

@@ -9,9 +9,11 @@ exceeds the largest register: later arrivals can't win.
 
 Signatures are cut to bands.  Texts with equal words are one class from the
 start.  Every class is verified against the smallest one of each of its
-buckets by the exact Jaccard similarity of the shingle sets; whatever is then
-still apart within a bucket is verified too, outside the bucket's largest
-component.  Groups are the connected components of verified pairs.
+buckets by the exact Jaccard similarity of the shingle sets.  What is then
+still apart from a bucket's largest component is compared with a few of its
+other members, and in the end with all of the bucket that is not yet in its
+own component, so no candidate pair that could join two groups is left out.
+Groups are the connected components of verified pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 BAND_ROWS = 5
+#: What is apart from a bucket's largest component is compared with so many of its members, so many times, before it is compared with all.
+LEADERS = 4
+LEADER_ROUNDS = 2
 #: Pairs of one leader that a task verifies in one go.
 CHUNK = 512
 
@@ -198,17 +203,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     texts = _class_texts(docs, text_col, flat, involved, words)
     links = stored(_jaccard_verify(near, texts, words, similarity))
     groups = stored(connected_components(links))
-    # What a bucket's largest component leaves out is compared with all of the bucket outside its own component.
-    placed = shared.join(groups.hint("merge"), F.col("b") == F.col("node"), "left").select("_bucket", "b", F.coalesce("component", "b").alias("_group"))
-    sizes = placed.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.groupBy("_bucket").agg(F.max_by("_group", F.struct("_n", "_group")).alias("_most"), F.count(F.lit(1)).alias("_groups")).where("_groups > 1")
-    open_buckets = stored(placed.join(largest.hint("merge"), "_bucket").select("_bucket", "b", "_group", "_most"))
-    minor = open_buckets.where("_group != _most").select("_bucket", F.col("b").alias("x"), F.col("_group").alias("_x"))
-    rest = minor.join(open_buckets, "_bucket").where("_x != _group and (_group = _most or x < b)")
-    rest = rest.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-    rest = stored(rest.join(near.hint("merge"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_jaccard_verify(rest, texts, words, similarity))
+    done = near
+    for step in range(LEADER_ROUNDS + 1):
+        open_buckets = _open_buckets(shared, groups)
+        minor = open_buckets.where("_group != _most").select("_bucket", F.col("b").alias("x"), F.col("_group").alias("_x"))
+        if step < LEADER_ROUNDS:
+            rest = minor.join(_leaders(open_buckets, step), "_bucket").select("x", F.explode("_leaders").alias("b"))
+        else:
+            rest = minor.join(open_buckets, "_bucket").where("_x != _group and (_group = _most or x < b)")
+        rest = rest.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+        rest = stored(rest.join(done.hint("merge"), ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        done = done.unionByName(rest)
+        links = links.unionByName(stored(_jaccard_verify(rest, texts, words, similarity)))
         groups = stored(connected_components(links))
     joined = flat.join(groups.hint("merge"), F.col("_class") == F.col("node"), "left")
     group = F.when(F.col("_words") > 0, F.coalesce("component", "_class"))
@@ -220,6 +228,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     return some.unionByName(none)
 
 
+def _open_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_bucket, b, _group, _most) of the buckets that hold several components; _most is the largest one there."""
+    placed = shared.join(groups.hint("merge"), F.col("b") == F.col("node"), "left").select("_bucket", "b", F.coalesce("component", "b").alias("_group"))
+    sizes = placed.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.groupBy("_bucket").agg(F.max_by("_group", F.struct("_n", "_group")).alias("_most"), F.count(F.lit(1)).alias("_groups")).where("_groups > 1")
+    return stored(placed.join(largest.hint("merge"), "_bucket").select("_bucket", "b", "_group", "_most"))
+
+
+def _leaders(open_buckets: DataFrame, step: int) -> DataFrame:
+    """A few members of each bucket's largest component, by hashes that are the same in all buckets."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(step * LEADERS + i), "b").alias("h"), "b"))["b"] for i in range(LEADERS)]
+    return open_buckets.where("_group = _most").groupBy("_bucket").agg(F.array_distinct(F.array(*drawn)).alias("_leaders"))
+
+
 def _class_texts(docs: DataFrame, text_col: str, flat: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     """(_class, _text) of one document of each class in ``involved``, written once."""
 

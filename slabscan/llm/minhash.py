@@ -12,7 +12,9 @@ start.  Every class is verified against the smallest one of each of its
 buckets by the exact Jaccard similarity of the shingle sets.  What is then
 still apart from a bucket's largest component is compared with a few of its
 other members, and in the end with all of the bucket that is not yet in its
-own component, so no candidate pair that could join two groups is left out.
+own component, but for pairs that can't reach the similarity because too many
+shingles of either text occur in no other text.  So no candidate pair that
+could join two groups is left out.
 Groups are the connected components of verified pairs.
 """
 
@@ -33,7 +35,7 @@ BANDS = 25
 BAND_ROWS = 5
 #: What is apart from a bucket's largest component is compared with so many of its members, so many times, before it is compared with all.
 LEADERS = 4
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: Pairs of one leader that a task verifies in one go.
 CHUNK = 512
 
@@ -210,7 +212,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
         if step < LEADER_ROUNDS:
             rest = minor.join(_leaders(open_buckets, step), "_bucket").select("x", F.explode("_leaders").alias("b"))
         else:
-            rest = minor.join(open_buckets, "_bucket").where("_x != _group and (_group = _most or x < b)")
+            profile = stored(_unshared(texts, open_buckets.select(F.col("b").alias("_class")).distinct(), words))
+            of = lambda side, name: profile.select(F.col("_class").alias(side), F.col("_n").alias(f"n_{name}"), (F.col("_n") - F.col("_u")).alias(f"o_{name}"))
+            minor = minor.join(of("x", "x").hint("merge"), "x")
+            others = open_buckets.join(of("b", "b").hint("merge"), "b")
+            most = F.least("o_x", "o_b")
+            able = most >= similarity * (F.col("n_x") + F.col("n_b") - most) - 1e-9
+            rest = minor.join(others, "_bucket").where(F.expr("_x != _group and (_group = _most or x < b)") & able)
         rest = rest.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
         rest = stored(rest.join(done.hint("merge"), ["a", "b"], "left_anti"))
         if rest.isEmpty():
@@ -236,6 +244,29 @@ def _open_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(placed.join(largest.hint("merge"), "_bucket").select("_bucket", "b", "_group", "_most"))
 
 
+def _unshared(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(_class, _n, _u): the shingles of each text, and those that no other text of ``classes`` has.
+
+    The latter bound the similarity of any pair from above, without looking at
+    the pair.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in split_batch(batch, "_text", 1 << 20):
+                data, offsets = text_bytes(part.column(1))
+                owner, shingle, _ = shingles(data, offsets, words)
+                owner, shingle, _ = weighted_sets(owner, shingle)
+                at = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))], names=["_class", "_s"])
+
+    sets = texts.join(classes.hint("merge"), "_class", "left_semi").select("_class", "_text").mapInArrow(run, "_class long, _s array<long>")
+    each = sets.select("_class", F.explode("_s").alias("_s"))
+    alone = each.groupBy("_s").agg(F.min("_class").alias("_class"), F.count(F.lit(1)).alias("_n"))
+    own = alone.where("_n = 1").groupBy("_class").agg(F.count(F.lit(1)).alias("_u"))
+    return sets.select("_class", F.size("_s").alias("_n")).join(own.hint("merge"), "_class", "left").select("_class", "_n", F.coalesce("_u", F.lit(0)).alias("_u"))
+
+
 def _leaders(open_buckets: DataFrame, step: int) -> DataFrame:
     """A few members of each bucket's largest component, by hashes that are the same in all buckets."""
     drawn = [F.min(F.struct(F.xxhash64(F.lit(step * LEADERS + i), "b").alias("h"), "b"))["b"] for i in range(LEADERS)]

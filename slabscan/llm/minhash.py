@@ -11,7 +11,7 @@ Signatures are cut to bands.  Texts with equal words are one class from the
 start.  Every class is verified against the smallest one of each of its
 buckets by the exact Jaccard similarity of the shingle sets.  What is then
 still apart from a bucket's largest component is compared with a few of its
-other members, and in the end with all of the bucket that is not yet in its
+most central members, and in the end with all of the bucket that is not yet in its
 own component, but for pairs that can't reach the similarity because too many
 shingles of either text occur in no other text.  So no candidate pair that
 could join two groups is left out.
@@ -33,9 +33,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 BAND_ROWS = 5
-#: What is apart from a bucket's largest component is compared with so many of its members, so many times, before it is compared with all.
+#: What is apart from a bucket's largest component is compared with so many of its members before it is compared with all.
 LEADERS = 4
-LEADER_ROUNDS = 1
 #: Pairs of one leader that a task verifies in one go.
 CHUNK = 512
 
@@ -206,16 +205,18 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     links = stored(_jaccard_verify(near, texts, words, similarity))
     groups = stored(connected_components(links))
     done = near
-    for step in range(LEADER_ROUNDS + 1):
+    profile = None
+    for last in (False, True):
         open_buckets = _open_buckets(shared, groups)
+        if profile is None:
+            profile = stored(_unshared(texts, open_buckets.select(F.col("b").alias("_class")).distinct(), words))
+        of = lambda side, name: profile.select(F.col("_class").alias(side), F.col("_n").alias(f"n_{name}"), (F.col("_n") - F.col("_u")).alias(f"o_{name}"))
+        others = open_buckets.join(of("b", "b").hint("merge"), "b")
         minor = open_buckets.where("_group != _most").select("_bucket", F.col("b").alias("x"), F.col("_group").alias("_x"))
-        if step < LEADER_ROUNDS:
-            rest = minor.join(_leaders(open_buckets, step), "_bucket").select("x", F.explode("_leaders").alias("b"))
+        if not last:
+            rest = minor.join(_leaders(others), "_bucket").select("x", F.explode("_leaders").alias("b"))
         else:
-            profile = stored(_unshared(texts, open_buckets.select(F.col("b").alias("_class")).distinct(), words))
-            of = lambda side, name: profile.select(F.col("_class").alias(side), F.col("_n").alias(f"n_{name}"), (F.col("_n") - F.col("_u")).alias(f"o_{name}"))
             minor = minor.join(of("x", "x").hint("merge"), "x")
-            others = open_buckets.join(of("b", "b").hint("merge"), "b")
             most = F.least("o_x", "o_b")
             able = most >= similarity * (F.col("n_x") + F.col("n_b") - most) - 1e-9
             rest = minor.join(others, "_bucket").where(F.expr("_x != _group and (_group = _most or x < b)") & able)
@@ -267,10 +268,10 @@ def _unshared(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return sets.select("_class", F.size("_s").alias("_n")).join(own.hint("merge"), "_class", "left").select("_class", "_n", F.coalesce("_u", F.lit(0)).alias("_u"))
 
 
-def _leaders(open_buckets: DataFrame, step: int) -> DataFrame:
-    """A few members of each bucket's largest component, by hashes that are the same in all buckets."""
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(step * LEADERS + i), "b").alias("h"), "b"))["b"] for i in range(LEADERS)]
-    return open_buckets.where("_group = _most").groupBy("_bucket").agg(F.array_distinct(F.array(*drawn)).alias("_leaders"))
+def _leaders(others: DataFrame) -> DataFrame:
+    """A few members of each bucket's largest component: of each slice of them, the one with the largest shared part."""
+    drawn = [F.max(F.when(F.pmod(F.xxhash64("b"), F.lit(LEADERS)) == i, F.struct((F.col("o_b") - F.col("n_b")).alias("o"), "b")))["b"] for i in range(LEADERS)]
+    return others.where("_group = _most").groupBy("_bucket").agg(F.array_compact(F.array(*drawn)).alias("_leaders"))
 
 
 def _class_texts(docs: DataFrame, text_col: str, flat: DataFrame, involved: DataFrame, words: int) -> DataFrame:

@@ -12,9 +12,9 @@ start.  Every class is verified against the smallest one of each of its
 buckets by the exact Jaccard similarity of the shingle sets.  What is then
 still apart from a bucket's largest component is compared with a few of its
 most central members, and in the end with all of the bucket that is not yet in its
-own component, but for pairs that can't reach the similarity because too many
-shingles of either text occur in no other text.  So no candidate pair that
-could join two groups is left out.
+own component, but for pairs that can't reach the similarity because the
+texts share too few shingles by an exact upper bound.  So no candidate pair
+that could join two groups is left out.
 Groups are the connected components of verified pairs.
 """
 
@@ -35,6 +35,8 @@ BANDS = 25
 BAND_ROWS = 5
 #: What is apart from a bucket's largest component is compared with so many of its members before it is compared with all.
 LEADERS = 4
+#: Slices of a text's shingles, by which the similarity of a pair is bounded.
+SLICES = 64
 #: Pairs of one leader that a task verifies in one go.
 CHUNK = 512
 
@@ -209,16 +211,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     for last in (False, True):
         open_buckets = _open_buckets(shared, groups)
         if profile is None:
-            profile = stored(_unshared(texts, open_buckets.select(F.col("b").alias("_class")).distinct(), words))
-        of = lambda side, name: profile.select(F.col("_class").alias(side), F.col("_n").alias(f"n_{name}"), (F.col("_n") - F.col("_u")).alias(f"o_{name}"))
+            profile = stored(_profiles(texts, open_buckets.select(F.col("b").alias("_class")).distinct(), words))
+        of = lambda side, name: profile.select(F.col("_class").alias(side), *(F.col(f"_{c}").alias(f"{c}_{name}") for c in ("n", "o", "shared")))
         others = open_buckets.join(of("b", "b").hint("merge"), "b")
         minor = open_buckets.where("_group != _most").select("_bucket", F.col("b").alias("x"), F.col("_group").alias("_x"))
         if not last:
             rest = minor.join(_leaders(others), "_bucket").select("x", F.explode("_leaders").alias("b"))
         else:
             minor = minor.join(of("x", "x").hint("merge"), "x")
-            most = F.least("o_x", "o_b")
-            able = most >= similarity * (F.col("n_x") + F.col("n_b") - most) - 1e-9
+            needed = F.ceil((F.col("n_x") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6)
+            by_slice = F.aggregate(F.zip_with("shared_x", "shared_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+            able = (F.least("o_x", "o_b") >= needed) & (by_slice >= needed)
             rest = minor.join(others, "_bucket").where(F.expr("_x != _group and (_group = _most or x < b)") & able)
         rest = rest.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
         rest = stored(rest.join(done.hint("merge"), ["a", "b"], "left_anti"))
@@ -245,11 +248,11 @@ def _open_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(placed.join(largest.hint("merge"), "_bucket").select("_bucket", "b", "_group", "_most"))
 
 
-def _unshared(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(_class, _n, _u): the shingles of each text, and those that no other text of ``classes`` has.
+def _profiles(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(_class, _n, _o, _shared): a text's shingles, those that some other text of ``classes`` has too, and these by slice.
 
-    The latter bound the similarity of any pair from above, without looking at
-    the pair.
+    Slices are cut by the shingle's hash.  Two texts share at most the sum of
+    the smaller counts of each slice, which bounds their similarity from above.
     """
 
     def run(batches):
@@ -261,11 +264,21 @@ def _unshared(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 at = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))], names=["_class", "_s"])
 
-    sets = texts.join(classes.hint("merge"), "_class", "left_semi").select("_class", "_text").mapInArrow(run, "_class long, _s array<long>")
-    each = sets.select("_class", F.explode("_s").alias("_s"))
-    alone = each.groupBy("_s").agg(F.min("_class").alias("_class"), F.count(F.lit(1)).alias("_n"))
-    own = alone.where("_n = 1").groupBy("_class").agg(F.count(F.lit(1)).alias("_u"))
-    return sets.select("_class", F.size("_s").alias("_n")).join(own.hint("merge"), "_class", "left").select("_class", "_n", F.coalesce("_u", F.lit(0)).alias("_u"))
+    def count(batches):
+        for batch in batches:
+            n, o, shared = [], [], []
+            for own, alone in zip(batch.column(1), batch.column(2), strict=True):
+                own = own.values.to_numpy(zero_copy_only=False)
+                rest = own if not alone.is_valid else np.setdiff1d(own, alone.values.to_numpy(zero_copy_only=False), assume_unique=True)
+                n.append(len(own))
+                o.append(len(rest))
+                shared.append(np.bincount(rest % SLICES, minlength=SLICES).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(shared, pa.list_(pa.int32()))], names=["_class", "_n", "_o", "_shared"])
+
+    sets = stored(texts.join(classes.hint("merge"), "_class", "left_semi").select("_class", "_text").mapInArrow(run, "_class long, _s array<long>"))
+    alone = sets.select("_class", F.explode("_s").alias("_s")).groupBy("_s").agg(F.min("_class").alias("_class"), F.count(F.lit(1)).alias("_n"))
+    own = alone.where("_n = 1").groupBy("_class").agg(F.collect_list("_s").alias("_alone"))
+    return sets.join(own.hint("merge"), "_class", "left").select("_class", "_s", "_alone").mapInArrow(count, "_class long, _n int, _o int, _shared array<int>")
 
 
 def _leaders(others: DataFrame) -> DataFrame:

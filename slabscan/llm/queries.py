@@ -9,6 +9,7 @@ from slabscan.llm.exact_dedup import exact_dedup
 from slabscan.llm.minhash import near_duplicates
 from slabscan.llm.packing import pack
 from slabscan.llm import toxicity
+from slabscan.llm.suffix_dedup import suffix_dedup
 from slabscan.llm.url_filter import filter_urls
 from slabscan.llm.warc import archive
 
@@ -41,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 

@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between the JVM and Python; two workers of an executor hold a few each.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor takes nothing along."""
     path = path or shared_dir(df.sparkSession)

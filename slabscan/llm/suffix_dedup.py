@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import POWERS, drop_path, mix64, row_key, shared_dir, split_batch, stored, text_bytes
+from slabscan.llm.common import POWERS, bound_batches, drop_path, mix64, row_key, shared_dir, split_batch, stored, text_bytes
 
 LENGTH = 200
 GRAM = 72
@@ -117,7 +117,7 @@ def common_extensions(data: np.ndarray, start: np.ndarray, size: np.ndarray, gro
     """The common bytes of each suffix with the one before it, from the bytes themselves."""
     out = np.full(len(start), -1, np.int64)
     same = np.flatnonzero(group[1:] == group[:-1]) + 1
-    for part in np.array_split(same, len(same) // 20_000 + 1):
+    for part in np.array_split(same, len(same) // 4096 + 1):
         if not len(part):
             continue
         n = np.minimum(size[part], size[part - 1])
@@ -172,6 +172,7 @@ def _release(spark) -> None:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
     """(_k, _t, start, end): byte ranges that cover all strings of ``length`` bytes that also start anywhere else."""
     spark = docs.sparkSession
+    bound_batches(spark)
     keys = row_key(id_col, text_col)
     rows = docs.where(F.octet_length(text_col) >= length).select(*keys, F.encode(text_col, "UTF-8").alias("_text"))
     schema = "_k long, _t long, pos long, h long, c long, l short, r short"
@@ -240,7 +241,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             pending += batch.to_pylist()
             # Whole groups only: the last one may go on in the next batch.
-            if len(pending) > 8 * PART:
+            if len(pending) > 2 * PART:
                 tail = (pending[-1]["h"], pending[-1]["_pair"])
                 keep = len(pending)
                 while keep and (pending[keep - 1]["h"], pending[keep - 1]["_pair"]) == tail:

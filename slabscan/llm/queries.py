@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slabscan.llm.embedding_dedup import near_vectors
 from slabscan.llm.exact_dedup import exact_dedup
 from slabscan.llm.minhash import near_duplicates
 from slabscan.llm.packing import pack
@@ -32,6 +33,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_read(spark, sf_dir, "pages"), min_payload_bytes=0)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 

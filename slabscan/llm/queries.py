@@ -9,7 +9,7 @@ from slabscan.llm.embedding_dedup import near_vectors
 from slabscan.llm.exact_dedup import exact_dedup
 from slabscan.llm.minhash import near_duplicates
 from slabscan.llm.packing import pack
-from slabscan.llm import toxicity
+from slabscan.llm import quality, toxicity
 from slabscan.llm.suffix_dedup import suffix_dedup
 from slabscan.llm.url_filter import filter_urls
 from slabscan.llm.warc import archive
@@ -52,6 +52,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -39,8 +40,31 @@ def bound_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor takes nothing along."""
     path = path or shared_dir(df.sparkSession)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those given to the function that it yields."""
+    kept: list[str] = []
+    _SCOPES.append([])
+    try:
+        yield lambda *tables: kept.extend(t._stored_at for t in tables)
+    finally:
+        paths = _SCOPES.pop()
+        for path in paths:
+            if path not in kept:
+                drop_path(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

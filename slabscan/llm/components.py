@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import drop_path, shared_dir, stored
+from slabscan.llm.common import scratch, stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -25,29 +25,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     edges to the shared folder, so lineage stays short; the number of rounds
     grows with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
-    path = shared_dir(spark)
-    now = stored(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), path)
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
-        both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        large = _star(both).where("y > x and y != low").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
-        small = _star(large.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        ends = F.explode(F.array("x", "y")).alias("u")
-        step = small.select(ends, F.col("low").alias("v")).where("u != v").distinct()
-        following = shared_dir(spark)
-        now = stored(step, following)
-        drop_path(spark, path)
-        path, last, mark = following, mark, _mark(now)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+    with scratch(edges.sparkSession) as keep:
+        now = stored(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+        mark = _mark(now)
+        for _ in range(max_rounds):
+            if mark[0] == 0:
+                break
+            with scratch(edges.sparkSession) as keep_step:
+                now = _round(now)
+                keep_step(now)
+            last, mark = mark, _mark(now)
+            if mark == last:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        keep(now)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def _round(now: DataFrame) -> DataFrame:
+    both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    large = _star(both).where("y > x and y != low").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
+    small = _star(large.select(F.col("u").alias("x"), F.col("v").alias("y")))
+    ends = F.explode(F.array("x", "y")).alias("u")
+    return stored(small.select(ends, F.col("low").alias("v")).where("u != v").distinct())
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import POWERS, bound_batches, drop_path, mix64, row_key, shared_dir, split_batch, stored, text_bytes
+from slabscan.llm.common import POWERS, bound_batches, drop_path, mix64, row_key, scratch, shared_dir, split_batch, stored, text_bytes
 
 LENGTH = 200
 GRAM = 72
@@ -199,11 +199,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _release(spark)
     classes = at.groupBy("h", "c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_k", "_t", "pos", "l", "r")).alias("_rep"))
     classes = stored(classes)
+    _release(spark)
     wholes = at.join(classes.where("_n > 1").select("h", "c").hint("merge"), ["h", "c"])
     spans = stored(wholes.select("_k", "_t", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")))
     # Only grams with several contexts, of which one occurs once, have to be sorted.
     mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("_m"), F.min("_n").alias("_least")).where("_m > 1 and _least = 1").select("h", F.ceil(F.col("_m") / part).cast("int").alias("_parts"))
     mixed = stored(mixed)
+    drop_path(spark, at._stored_at)
+    _release(spark)
     wanted = classes.join(mixed.hint("merge"), "h").select("h", "_n", "_parts", "_rep.*")
     per_text = wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("h", "_n", "_parts", "pos", "l", "r")).alias("_at"))
     one_each = rows.join(per_text.hint("merge"), ["_k", "_t"]).select("_k", "_t", "_at", "_text")
@@ -258,9 +261,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str], length: int, gram: int, part: int) -> DataFrame:
-    spans = repeated_spans(docs, id_col, text_col, length, gram, part)
-    # A text has at most one anchor's span for each of its bytes.
-    per_text = stored(spans.groupBy("_k", "_t").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")))
+    with scratch(docs.sparkSession) as keep_table:
+        spans = repeated_spans(docs, id_col, text_col, length, gram, part)
+        # A text has at most one anchor's span for each of its bytes.
+        per_text = stored(spans.groupBy("_k", "_t").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")))
+        keep_table(per_text)
+    _release(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("_doc"), *row_key(id_col, text_col), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_text"))
     return rows.join(per_text.hint("merge"), ["_k", "_t"], "left").select("_doc", "_spans", "_text")
 

@@ -10,6 +10,7 @@ from slabscan.llm.exact_dedup import exact_dedup
 from slabscan.llm.minhash import near_duplicates
 from slabscan.llm.packing import pack
 from slabscan.llm import quality, toxicity
+from slabscan.llm import sentencepiece_codec
 from slabscan.llm.suffix_dedup import suffix_dedup
 from slabscan.llm.url_filter import filter_urls
 from slabscan.llm.warc import archive
@@ -29,6 +30,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids_crc32", "round_trip")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_read(spark, sf_dir, "pages"), min_payload_bytes=0)
 

@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None =
         ids_of = TokenIds(tokenizer_path, ranks_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for part in split_batch(batch, "text", 4 << 20):
+            for part in split_batch(batch, "text", 1 << 20):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import split_batch, stored
+from slabscan.llm.common import bound_batches, split_batch, stored
 
 WORD = re.compile(r"\w+")
 #: Bounds of the model: labelled rows that are learned from, tokens with a weight.
@@ -128,7 +128,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for part in split_batch(batch, "text", 4 << 20):
+            for part in split_batch(batch, "text", 1 << 20):
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = WORD.findall((text or "").lower())
                     if label:
@@ -136,7 +136,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
                     else:
                         clean.update(set(words))
                         uses.update(words)
-                if len(toxic) + len(clean) > 400_000:
+                if len(toxic) + len(clean) > 200_000:
                     yield rows_of()
         yield rows_of()
 
@@ -186,7 +186,7 @@ def _segments(rows: DataFrame, model: ToxicModel) -> list:
 
     def run(batches):
         for batch in batches:
-            for part in split_batch(batch, "text", 4 << 20):
+            for part in split_batch(batch, "text", 1 << 20):
                 out = []
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = WORD.findall((text or "").lower())
@@ -217,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     Without any toxic or any clean one among them, every score is the share of
     toxic labels, smoothed by one of each kind.
     """
+    bound_batches(docs.sparkSession)
     # The labels are bounded by max_rows, 16 bytes each, so they may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, max_rows)), "doc_id")
     counts = stored(_token_counts(rows))
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     def run(batches):
         passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
         for batch in batches:
-            for part in split_batch(batch, "text", 4 << 20):
+            for part in split_batch(batch, "text", 1 << 20):
                 scores, passages = [], []
                 for text in part.column(2).to_pylist():
                     text = text or ""
@@ -275,7 +276,7 @@ def reject_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in split_batch(batch, "text", 4 << 20):
+            for part in split_batch(batch, "text", 1 << 20):
                 keep = []
                 for text in part.column(at).to_pylist():
                     words = WORD.findall((text or "").lower())

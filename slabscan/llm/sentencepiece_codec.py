@@ -25,7 +25,7 @@ from slabscan.llm.common import bound_batches, split_batch
 SPACE = "▁"
 #: A word: spaces, then everything up to the next space.  No piece has a space after another character.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
 UNKNOWN = -1
 
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         codec = codec_of(model_path)
         for batch in batches:
-            for part in split_batch(batch, "_text", 1 << 20):
+            for part in split_batch(batch, "_text", 6 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = codec.encode(texts)
                 same = [codec.decode(i.tolist()) == codec.sp.normalize(t).replace(SPACE, " ")[1:] for i, t in zip(ids, texts, strict=True)]

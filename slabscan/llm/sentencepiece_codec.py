@@ -41,14 +41,41 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.score = {i: self.sp.get_score(i) for i in self.ids.values()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        #: What each id decodes to.
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
-        self.apart: dict[int, bool] = {}
-        self.usable = {i: self.merge(p) == [i] for p, i in self.ids.items()}
+        self.names = np.array(list(self.ids.values()), np.int64)
+        self.length = np.array([len(p) for p in self.pieces], np.int64)
+        self.points = np.zeros((len(self.names), self.longest), np.uint32)
+        for row, p in zip(self.points, self.ids, strict=True):
+            row[: len(p)] = [ord(c) for c in p]
+        self._learn_merges(n)
         self.cache: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> list[int]:
-        """Pieces by merging, best pair first; for short strings."""
+    def _learn_merges(self, n: int) -> None:
+        """When each piece is made (0 for a character), its two parts, and all pairs of pieces that make one."""
+        self.usable = np.zeros(n, bool)
+        self.left, self.right = np.full(n, -1), np.full(n, -1)
+        self.made = np.zeros(n, np.int64)
+        ids = [i for p, i in self.ids.items() if len(p) > 1]
+        _, turn = np.unique([-self.score[i] for i in ids], return_inverse=True)
+        self.made[ids] = turn + 1
+        pairs = {}
+        for p, i in self.ids.items():
+            last: list[str] = []
+            self.usable[i] = self.merge(p, last) == [i]
+            if self.usable[i] and last:
+                self.left[i], self.right[i] = (self.ids[q] for q in last)
+            for k in range(1, len(p)):
+                x, y = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if x is not None and y is not None:
+                    pairs[x << 24 | y] = self.made[i]
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_made = np.array([pairs[c] for c in self.pairs.tolist()], np.int64)
+
+    def merge(self, text: str, last: list[str] | None = None) -> list[int]:
+        """Pieces by merging, best pair first; for short strings.  ``last`` gets the two parts that merged last."""
         parts = list(text)
         while True:
             best, at = None, -1
@@ -58,28 +85,39 @@ class Codec:
                     best, at = self.score[k], i
             if at < 0:
                 return [self.ids.get(p, UNKNOWN) for p in parts]
+            if last is not None:
+                last[:] = parts[at : at + 2]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a; a = -2 is a word's start, -1 an unknown character."""
-        code = (a + 2).astype(np.int64) * (1 << 24) + b + 2
-        pairs, at = np.unique(code, return_inverse=True)
-        out = np.empty(len(pairs), bool)
-        for i, c in enumerate(pairs.tolist()):
-            known = self.apart.get(c)
-            if known is None:
-                x, y = (c >> 24) - 2, (c & 0xFFFFFF) - 2
-                if y == UNKNOWN:
-                    known = True
-                elif x < 0:
-                    known = self.usable[y]
-                else:
-                    known = self.usable[y] and self.merge(self.pieces[x] + self.pieces[y]) == [x, y]
-                if len(self.apart) > 2_000_000:
-                    self.apart.clear()
-                self.apart[c] = known
-            out[i] = known
-        return out[at]
+        out = (b == UNKNOWN) | self.usable[b]
+        both = np.flatnonzero(out & (a >= 0) & (b >= 0))
+        code, at = np.unique(a[both] << 24 | b[both], return_inverse=True)
+        out[both] = self._no_merge_across(code >> 24, code & 0xFFFFFF)[at]
+        return out
+
+    def _no_merge_across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses the border of pieces a and b.
+
+        The merges that made the two are undone, latest first.  A pair at the
+        border that would merge before the one undone last would have crossed.
+        """
+        out = np.ones(len(a), bool)
+        row, limit = np.arange(len(a)), np.full(len(a), np.iinfo(np.int64).max)
+        while len(row):
+            code = a << 24 | b
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            cross = (self.pairs[at] == code) & (self.pair_made[at] < limit)
+            out[row[cross]] = False
+            on = ~cross & ((self.made[a] > 0) | (self.made[b] > 0))
+            row, a, b = row[on], a[on], b[on]
+            made_a, made_b = self.made[a], self.made[b]
+            undo_a = made_a > made_b
+            # Of equal merges the one further left goes first.
+            limit = np.where(undo_a, made_a, made_b + 1)
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
+        return out
 
     def _match(self, words: list[str]):
         """(start, end, piece) of every occurrence of every piece, and the words' offsets."""
@@ -87,40 +125,34 @@ class Codec:
         size = np.array([len(w) for w in words])
         offset = np.concatenate([[0], np.cumsum(size)])
         chars, rank = np.unique(text, return_inverse=True)
-        n, bits = len(text), 16
-        if len(chars) >= (1 << bits) - 2:
+        if len(chars) >= 0xFFFE:
             raise ValueError("too many distinct characters in a batch")
-        # Windows of ranks: 0 is past the word's end, 0xFFFF above any character.
-        room = np.zeros((n, self.longest), ">u2")
-        end = np.repeat(offset[1:], size)
+        # Windows of ranks: 0 is past the word's end, the highest value above any character.
+        unit, top = (">u1", 0xFF) if len(chars) < 0xFE else (">u2", 0xFFFF)
+        n, width = len(text), -(-self.longest // 8) * 8
+        room = np.zeros((n, width), unit)
+        left = np.repeat(offset[1:], size) - np.arange(n)
+        rank = np.concatenate([rank + 1, np.zeros(self.longest, rank.dtype)]).astype(unit)
         for j in range(self.longest):
-            inside = np.arange(n) + j < end
-            room[inside, j] = rank[np.flatnonzero(inside) + j] + 1
-        keys = room.reshape(n, -1).view(f"S{2 * self.longest}").ravel()
-        words8 = room.view(">u8") if (2 * self.longest) % 8 == 0 else None
-        order = np.lexsort([words8[:, k].astype(np.uint64) for k in range(words8.shape[1])][::-1]) if words8 is not None else np.argsort(keys, kind="stable")
+            room[:, j] = np.where(left > j, rank[j : n + j], 0)
+        keys = room.view(f"S{room.strides[0]}").ravel()
+        halves = room.view(">u8").astype(np.uint64)
+        order = np.lexsort([halves[:, k] for k in reversed(range(halves.shape[1]))])
         keys = keys[order]
-        where = {int(c): i + 1 for i, c in enumerate(chars)}
-        names, low, high = [], [], []
-        for piece, k in self.ids.items():
-            codes = [where.get(ord(c)) for c in piece]
-            if None in codes:
-                continue
-            a = np.zeros(self.longest, ">u2")
-            a[: len(codes)] = codes
-            b = a.copy()
-            b[len(codes) :] = 0xFFFF
-            names.append(k)
-            low.append(a.tobytes())
-            high.append(b.tobytes())
-        kind = f"S{2 * self.longest}"
-        lo = np.searchsorted(keys, np.array(low, kind), side="left")
-        hi = np.searchsorted(keys, np.array(high, kind), side="right")
+        at = np.minimum(np.searchsorted(chars, self.points), len(chars) - 1)
+        here = (chars[at] == self.points) | (self.points == 0)
+        whole = here.all(axis=1)
+        names = self.names[whole]
+        low = np.zeros((len(names), width), unit)
+        low[:, : self.longest] = np.where(self.points[whole] == 0, 0, at[whole] + 1)
+        high = np.where(np.arange(width) < self.length[names][:, None], low, np.array(top, unit))
+        lo = np.searchsorted(keys, low.view(keys.dtype).ravel(), side="left")
+        hi = np.searchsorted(keys, np.ascontiguousarray(high.astype(unit)).view(keys.dtype).ravel(), side="right")
         number = hi - lo
         within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
         start = order[np.repeat(lo, number) + within]
-        piece = np.repeat(np.array(names, np.int64), number)
-        length = np.repeat(np.array([len(self.pieces[k]) for k in names], np.int64), number)
+        piece = np.repeat(names, number)
+        length = self.length[piece]
         known = np.zeros(n, bool)
         known[start[length == 1]] = True
         odd = np.flatnonzero(~known)
@@ -146,31 +178,49 @@ class Codec:
             fit[fit] = self.stay_apart(before[fit], p[fit])
             last[end[a:b][fit]] = p[fit]
             came[end[a:b][fit]] = s[fit]
-        out = []
-        for i in range(len(words)):
-            at, ids = int(offset[i + 1]), []
-            while at > offset[i]:
-                if last[at] == UNKNOWN:
-                    raw = chr(int(text[at - 1])).encode("utf-8", "replace")
-                    ids += [self.bytes[b] for b in raw[::-1]] if self.bytes else [self.sp.unk_id()]
-                else:
-                    ids.append(int(last[at]))
-                at = int(came[at])
-            out.append(np.array(ids[::-1], "<i4").tobytes())
-        return out
+        # Back from the ends of all words at once.
+        on = np.zeros(len(text) + 1, bool)
+        at, first = offset[1:], offset[:-1]
+        while len(at):
+            on[at] = True
+            at = came[at]
+            more = at > first
+            at, first = at[more], first[more]
+        at = np.flatnonzero(on)
+        ids = last[at]
+        number = np.ones(len(at), np.int64)
+        odd = np.flatnonzero(ids == UNKNOWN)
+        spelt = [self._spell(chr(c)) for c in text[at[odd] - 1].tolist()]
+        number[odd] = [len(s) for s in spelt]
+        flat = np.repeat(ids, number)
+        flat[flat == UNKNOWN] = [i for s in spelt for i in s]
+        data = flat.astype("<i4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(number)])[np.searchsorted(at, offset, side="right")] * 4
+        return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _spell(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.sp.unk_id()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORD.findall(self.sp.normalize(t)) for t in texts]
-        new = list(set().union(*split) - self.cache.keys()) if split else []
-        coded = dict(zip(new, self.encode_words(new), strict=True))
-        out = [np.frombuffer(b"".join([coded[w] if w in coded else self.cache[w] for w in words]), "<i4") for words in split]
-        if len(self.cache) + len(coded) > CACHE_WORDS:
+        return self.encode_normal([self.sp.normalize(t) for t in texts])
+
+    def encode_normal(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts in normal form."""
+        split = [_WORD.findall(t) for t in texts]
+        used = set().union(*split)
+        new = list(used - self.cache.keys())
+        if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-        self.cache.update((w, c) for w, c in coded.items() if len(w) <= LONGEST_CACHED)
+            new = list(used)
+        self.cache.update(zip(new, self.encode_words(new), strict=True))
+        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4") for words in split]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del self.cache[w]
         return out
 
     def decode(self, ids) -> str:
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         text = raw.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -194,8 +244,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in split_batch(batch, "_text", 6 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = codec.encode(texts)
-                same = [codec.decode(i.tolist()) == codec.sp.normalize(t).replace(SPACE, " ")[1:] for i, t in zip(ids, texts, strict=True)]
+                normal = [codec.sp.normalize(t) for t in texts]
+                ids = codec.encode_normal(normal)
+                same = [codec.decode(i.tolist()) == t.replace(SPACE, " ")[1:] for i, t in zip(ids, normal, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 crc = pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())

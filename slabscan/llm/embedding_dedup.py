@@ -1,13 +1,10 @@
-"""Near-duplicate vectors through a pivot-permutation index.
-
-Reference points are a bounded sample of the vectors.  Each vector is described
-by the ordered list of its nearest reference points, and stands in the
-inverted list of each of them, by label.  Two vectors of a list are verified by
-their cosine if they share enough reference points, and only in the list of
-the first that they share, so that no pair counts twice.  Equal vectors are
-one class from the start.  A list longer than ``PART`` is worked on for each
-pair of its parts, and gives a count of links and a local component for each
-vector, never its pairs.
+"""Near-duplicate vectors by exact comparison, block by block within a label.
+
+Equal vectors are one class from the start.  The classes of a label and length
+are dealt into parts of about ``PART``, and every pair of parts (and each part
+with itself) is a unit of work in which all cosines are computed, so no pair is
+missed however dense its group is and no pair counts twice.  A unit gives a
+count of links and a local component for each vector, never its pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +18,9 @@ from slabscan.llm.common import bound_batches, stored
 from slabscan.llm.components import connected_components
 
 COSINE = 0.93
-#: One reference point for so many vectors, between the bounds; the sample grows no further.
-VECTORS_PER_PIVOT = 50
-PIVOTS = (16, 1024)
-PREFIX = 8
-SHARED = 2
-PART = 1024
+#: Vectors of a part, and how many of them are compared at once.
+PART = 4096
+STRIP = 512
 
 
 def _valid(vec: str, label: str):
@@ -37,8 +31,8 @@ def _valid(vec: str, label: str):
 
 def unit_rows(lists: pa.Array) -> np.ndarray:
     """Vectors of equal length as rows of length 1; scaled first, so that no square overflows."""
-    x = np.array(lists.to_pylist(), float)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = np.asarray(lists.flatten(), float).reshape(len(lists), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -56,22 +50,26 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def link_unit(vectors: np.ndarray, prefixes: np.ndarray, pivot: int, side: np.ndarray, weight: np.ndarray, cosine: float, shared: int, split: bool):
-    """(links of each vector, local root of each) among one list, or between its two parts where ``split``."""
-    points, at = np.unique(prefixes, return_inverse=True)
-    here = np.zeros((len(vectors), len(points)), np.float32)
-    here[np.arange(len(vectors))[:, None], at.reshape(prefixes.shape)] = 1
-    before = here[:, points < pivot]
-    ok = (here @ here.T >= shared) & (before @ before.T == 0)
-    ok &= (side[:, None] < side[None, :]) if split else np.triu(np.ones_like(ok), 1)
-    i, j = np.nonzero(ok)
-    near = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= cosine if len(i) < 100_000 else (vectors @ vectors.T)[i, j] >= cosine
-    i, j = i[near], j[near]
-    links = np.bincount(i, weight[j], len(vectors)) + np.bincount(j, weight[i], len(vectors))
-    return links.astype(np.int64), _roots(len(vectors), i, j)
-
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, prefix: int = PREFIX, shared: int = SHARED, part: int = PART) -> DataFrame:
+def link_unit(vectors: np.ndarray, side: np.ndarray, weight: np.ndarray, cosine: float, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each vector, local root of each) among one part, or between two parts where ``split``."""
+    n = len(vectors)
+    low, high = (np.flatnonzero(side == s) for s in (side.min(), side.max())) if split else (np.arange(n),) * 2
+    links, root = np.zeros(n), np.arange(n)
+    for start in range(0, len(low), STRIP):
+        own = low[start : start + STRIP]
+        near = vectors[own] @ vectors[high].T >= cosine
+        if not split:
+            near &= own[:, None] < high[None, :]
+        links[own] += near @ weight[high]
+        links[high] += weight[own] @ near
+        i, j = np.nonzero(near)
+        i, j = root[own[i]], root[high[j]]
+        apart = i != j
+        root = _roots(n, i[apart], j[apart])[root]
+    return links.astype(np.int64), root
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, part: int = PART) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors of the same label (and length) with a cosine of at least
@@ -85,61 +83,43 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     good = rows.where("_ok")
     classes = good.groupBy("_label", "_vec").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_low"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("_rep"), "_label", "_vec", "_n", "_low"))
-    n = classes.count()
-    wanted = min(PIVOTS[1], max(PIVOTS[0], n // VECTORS_PER_PIVOT))
-    sample = classes.select("_vec", F.xxhash64("_vec").alias("_h")).orderBy("_h", "_vec").limit(wanted).collect()
-    points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(r["_vec"]) for r in sample}:
-        own = [i for i, r in enumerate(sample) if len(r["_vec"]) == size]
-        points[size] = (np.array(own), unit_rows(pa.array([sample[i]["_vec"] for i in own])))
-
-    def describe(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            sizes = np.array(lists.value_lengths())
-            out = [None] * len(batch)
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                # Vectors of a length that no reference point has share one list.
-                names, matrix = points.get(int(size), (np.array([-1]), np.ones((1, int(size)))))
-                likeness = unit_rows(lists.take(pa.array(at))) @ matrix.T
-                k = min(prefix, len(names))
-                top = np.argsort(-likeness, axis=1, kind="stable")[:, :k]
-                for row, best in zip(at, names[top].tolist(), strict=True):
-                    out[row] = best
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["_rep", "_prefix"])
-
-    described = classes.select("_rep", "_vec").mapInArrow(describe, "_rep long, _prefix array<int>")
-    described = stored(described.join(classes.hint("merge"), "_rep").select("_rep", "_label", F.size("_vec").alias("_d"), "_vec", "_n", "_prefix"))
-    listed = described.select("_rep", "_label", "_d", F.explode("_prefix").alias("_pivot"))
-    lengths = stored(listed.groupBy("_label", "_d", "_pivot").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m"))
-    entries = described.withColumn("_pivot", F.explode("_prefix")).join(lengths.hint("merge"), ["_label", "_d", "_pivot"])
-    own = F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int")
+    sized = classes.withColumn("_d", F.size("_vec"))
+    # One row for each label of several parts, so at most one for PART vectors.
+    large = sized.groupBy("_label", "_d").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    entries = sized.join(F.broadcast(large), ["_label", "_d"], "left").withColumn("_parts", parts).withColumn("_side", F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda p: F.struct(F.least(p, F.col("_side")).alias("a"), F.greatest(p, F.col("_side")).alias("b"))))
-    dealt = entries.withColumn("_side", own).select("_label", "_d", "_pivot", pair.alias("_pair"), "_side", "_rep", "_n", "_prefix", "_vec")
-    unit = ["_label", "_d", "_pivot", "_pair"]
+    dealt = entries.select("_label", "_d", pair.alias("_pair"), "_side", "_rep", "_n", "_vec")
+    unit = ["_label", "_d", "_pair"]
     ordered = dealt.repartition(*unit).sortWithinPartitions(*unit)
 
-    def solve(key, held: list[dict]):
-        pivot, pair = key[2], key[3]
-        vec = unit_rows(pa.array([r["_vec"] for r in held]))
-        reps = np.array([r["_rep"] for r in held])
-        links, root = link_unit(vec, np.array([r["_prefix"] for r in held]), pivot, np.array([r["_side"] for r in held]), np.array([r["_n"] for r in held], float), cosine, min(shared, len(held[0]["_prefix"])), pair[0] != pair[1])
+    def solve(pair: dict, held: list[pa.RecordBatch]):
+        vec = np.concatenate([unit_rows(b.column("_vec")) for b in held])
+        reps, side, weight = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("_rep", "_side", "_n"))
+        # A pair of parts of which one is empty has nothing to compare.
+        if pair["a"] != pair["b"] and side.min() == side.max():
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["a", "links", "b"])
+        links, root = link_unit(vec, side, weight.astype(float), cosine, pair["a"] != pair["b"])
         hit = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(links[hit]), pa.array(reps[root[hit]])], names=["a", "links", "b"])
 
     def link(batches):
         key, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["_label"], row["_d"], row["_pivot"], (row["_pair"]["a"], row["_pair"]["b"]))
-                if now != key and held:
-                    yield solve(key, held)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in unit), strict=True))
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                if keys[start] != key and held:
+                    yield solve(key[2], held)
                     held = []
-                key = now
-                held.append(row)
+                key = keys[start]
+                held.append(batch.slice(start, end - start))
+                start = end
         if held:
-            yield solve(key, held)
+            yield solve(key[2], held)
 
     found = stored(ordered.mapInArrow(link, "a long, links long, b long"))
     groups = connected_components(found)

@@ -1,7 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Token weights are log-odds between toxic and clean labelled documents with an
-informative Dirichlet prior, reduced by some standard deviations towards zero.  Every token also costs a drift, so clean text scores below zero.  A
+informative Dirichlet prior, reduced by some standard deviations towards zero,
+of the tokens that pass a false-discovery rate when near copies of a text count
+as one text.  Every token also costs a drift, so clean text scores below zero.  A
 linear scan finds all maximal scoring segments of a document.  Their scores
 are calibrated by the extreme-value law of segment scores in clean text: of m
 tokens, segments of score s or more are expected K m exp(-lambda s) times.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import bound_batches, split_batch, stored
+from slabscan.llm.common import bound_batches, mix64, split_batch, stored
 
 WORD = re.compile(r"\w+")
 #: Bounds of the model: labelled rows that are learned from, tokens with a weight.
@@ -30,9 +33,14 @@ TRAIN_ROWS = 400_000
 VOCABULARY = 20_000
 MIN_TOXIC_DOCS = 3
 PRIOR_SHARE = 0.005
-#: Weights are reduced by so many standard deviations at least, and by this share of the strongest tokens' significance.
+#: Weights are reduced by so many standard deviations.
 Z = 2.0
-Z_SHARE = 0.7
+#: Share of tokens with a weight that may have it by chance.
+FALSE_SHARE = 0.05
+#: Copies of a text are told by the smallest hashes of its shingles of so many words, under so many orders.
+SHINGLE = 5
+ORDERS = 7
+_ODD = mix64(np.arange(1, ORDERS + 1)) | np.uint64(1)
 LARGEST = 10.0
 DRIFT = 0.3
 SIGNIFICANT = 0.05
@@ -107,23 +115,64 @@ def training_labels(labels: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
     return known
 
 
+def sketches(words: list[str], label: int) -> np.ndarray:
+    """A key for the label and the smallest shingle under each order; near copies share most of them, other texts few."""
+    h = mix64(np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words] or [0], np.uint64) + np.uint64(1))
+    k = min(SHINGLE, len(h))
+    n = len(h) - k + 1
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total = mix64(total + h[j : j + n])
+    least = np.array([(total * odd).min() for odd in _ODD])
+    return mix64(least + np.arange(ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(bool(label))).view(np.int64)
+
+
+def _copies(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that several of the training rows have, in order, and how many have them; the rows are bounded."""
+
+    def run(batches):
+        for batch in batches:
+            for part in split_batch(batch, "text", 1 << 20):
+                texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                keys = np.concatenate([sketches(WORD.findall((t or "").lower()), y) for t, y in texts])
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+    found = rows.select("text", "_toxic").mapInArrow(run, "key long").groupBy("key").count().where("count > 1").toArrow()
+    keys, counts = (found.column(c).to_numpy() for c in ("key", "count"))
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.int32)
+
+
+def _texts_of(keys: np.ndarray, counts: np.ndarray, own: np.ndarray) -> int:
+    """How many rows are copies of the one with the keys ``own``, itself included: the median over the orders."""
+    if not len(keys):
+        return 1
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return int(np.median(np.where(keys[at] == own, counts[at], 1)))
+
+
 def _token_counts(rows: DataFrame) -> DataFrame:
-    """(token, toxic_docs, clean_docs, in_clean), summed in each task before the shuffle.
+    """(token, toxic_docs, clean_docs, in_clean, toxic_copies, clean_copies), summed in each task before the shuffle.
 
     Weights come from numbers of documents, so that a word that one document
     repeats a thousand times counts once; the calibration needs occurrences.
+    Copies are documents beyond the first of each text, shared among all of it.
     """
-    names = ["token", "toxic_docs", "clean_docs", "in_clean"]
+    names = ["token", "toxic_docs", "clean_docs", "in_clean", "toxic_copies", "clean_copies"]
+    keys, shared = _copies(rows)
 
     def run(batches):
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
         uses: Counter[str] = Counter()
+        again: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def rows_of():
             tokens = list(toxic.keys() | clean.keys())
-            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in (toxic, clean, uses))], names=names)
-            for c in (toxic, clean, uses):
+            counts = [pa.array([c[t] for t in tokens], pa.int64()) for c in (toxic, clean, uses)]
+            extra = [pa.array([float(c[t]) for t in tokens], pa.float64()) for c in (again[1], again[0])]
+            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *counts, *extra], names=names)
+            for c in (toxic, clean, uses, *again):
                 c.clear()
             return out
 
@@ -131,35 +180,59 @@ def _token_counts(rows: DataFrame) -> DataFrame:
             for part in split_batch(batch, "text", 1 << 20):
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = WORD.findall((text or "").lower())
+                    once = set(words)
                     if label:
-                        toxic.update(set(words))
+                        toxic.update(once)
                     else:
-                        clean.update(set(words))
+                        clean.update(once)
                         uses.update(words)
+                    n = _texts_of(keys, shared, sketches(words, label))
+                    if n > 1:
+                        more = again[bool(label)]
+                        for word in once:
+                            more[word] += 1 - 1 / n
                 if len(toxic) + len(clean) > 200_000:
                     yield rows_of()
         yield rows_of()
 
-    parts = rows.select("text", "_toxic").mapInArrow(run, "token string, toxic_docs long, clean_docs long, in_clean long")
+    parts = rows.select("text", "_toxic").mapInArrow(run, "token string, toxic_docs long, clean_docs long, in_clean long, toxic_copies double, clean_copies double")
     return parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
-def _weights(counts: DataFrame) -> tuple[dict[str, float], dict[str, int], int]:
+def _bar(able: DataFrame) -> float:
+    """The least ``z`` that keeps the false-discovery rate of Benjamini and Hochberg, in steps of 0.01."""
+    steps = able.groupBy(F.floor(F.abs("z") * 100).alias("step")).count().orderBy(F.desc("step")).collect()
+    total = sum(r["count"] for r in steps)
+    bar, kept = math.inf, 0
+    for r in steps:
+        kept += r["count"]
+        if math.erfc(r.step / 100 / math.sqrt(2)) * total <= FALSE_SHARE * kept:
+            bar = r.step / 100
+    return bar
+
+
+def _weights(counts: DataFrame, toxic_share: float) -> tuple[dict[str, float], dict[str, int], int]:
     """Weights of the tokens with the largest ones, how often each is in clean text, and the clean tokens."""
     n_toxic, n_clean, used = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("toxic_docs", "clean_docs", "in_clean"))).first()
     if not n_toxic or not n_clean:
         return {}, {}, 0
     mass = max(1000.0, PRIOR_SHARE * (n_toxic + n_clean))
     prior = F.lit(mass / (n_toxic + n_clean)) * (F.col("toxic_docs") + F.col("clean_docs"))
-    a, b = F.col("toxic_docs") + prior, F.col("clean_docs") + prior
+    # Half a document at least: none seen is no proof that there are none.
+    a, b = (F.greatest(F.col(c) + prior, F.lit(0.5)) for c in ("toxic_docs", "clean_docs"))
     odds = F.log(a / (F.lit(n_toxic + mass) - a)) - F.log(b / (F.lit(n_clean + mass) - b))
     spread = F.sqrt(1 / a + 1 / b)
-    able = counts.where(F.col("toxic_docs") >= MIN_TOXIC_DOCS).withColumns({"odds": odds, "spread": spread})
-    # Copies of a wrongly labelled text make all its words significant, the more the larger the data; so the bar is relative.
-    strongest = [r.z for r in able.select((F.col("odds") / F.col("spread")).alias("z")).orderBy(F.desc("z")).limit(5).collect()]
-    bar = max(Z, Z_SHARE * sum(strongest) / max(len(strongest), 1))
-    shrunk = F.signum("odds") * F.greatest(F.abs("odds") - bar * F.col("spread"), F.lit(0.0))
-    weighed = able.withColumn("w", F.least(shrunk, F.lit(LARGEST))).where("abs(w) > 0.05")
+    # Significance is that of the texts: the signed root of the binomial deviance from the share of toxic documents, with
+    # half a text taken off.  All copies of a wrongly labelled text are one text, so its words don't pass by their number.
+    k, n = F.col("toxic_docs") - F.col("toxic_copies"), F.col("toxic_docs") - F.col("toxic_copies") + F.col("clean_docs") - F.col("clean_copies")
+    gap = k - n * toxic_share
+    near = k - F.signum(gap) * F.least(F.abs(gap), F.lit(0.5))
+    part = lambda x, share: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
+    deviance = F.greatest(2 * (part(near, toxic_share) + part(n - near, 1 - toxic_share)), F.lit(0.0))
+    able = counts.where(F.col("toxic_docs") >= MIN_TOXIC_DOCS).withColumns({"odds": odds, "spread": spread, "z": F.signum(gap) * F.sqrt(deviance)})
+    able = stored(able.where("z is not null"))
+    shrunk = F.signum("odds") * F.greatest(F.abs("odds") - Z * F.col("spread"), F.lit(0.0))
+    weighed = able.where(F.abs("z") >= _bar(able)).withColumn("w", F.least(shrunk, F.lit(LARGEST))).where("abs(w) > 0.05 and signum(w) = signum(z)")
     top = weighed.orderBy(F.desc(F.abs("w")), "token").limit(VOCABULARY).select("token", "w", "in_clean").collect()
     return {r.token: r.w for r in top}, {r.token: r.in_clean for r in top}, used
 
@@ -219,9 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     """
     bound_batches(docs.sparkSession)
     # The labels are bounded by max_rows, 16 bytes each, so they may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, max_rows)), "doc_id")
+    known = training_labels(labels, max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     counts = stored(_token_counts(rows))
-    weights, clean, n_clean = _weights(counts)
+    toxic_share = known.agg(F.avg("_toxic")).first()[0] or 0.0
+    weights, clean, n_clean = _weights(counts, toxic_share)
     model = ToxicModel(weights)
     known = _segments(rows, model)
     y = np.array([r["label"] for r in known], float)

@@ -55,3 +55,29 @@ def test_held_out_accuracy(spark):
     print("recall", hits / sum(r.toxic for r in rows), "precision", hits / sum(r.predicted for r in rows), len(rows))
     assert hits / sum(r.toxic for r in rows) > 0.8
     assert hits / sum(r.predicted for r in rows) > 0.9
+
+
+def test_rare_words_and_copies(spark):
+    """A rare toxic word has weight beside common ones; the words of many near copies of a wrongly labelled text have none."""
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(400)]
+    docs, labels = [], []
+
+    def add(words, toxic):
+        docs.append((len(docs), " ".join(words)))
+        labels.append((len(labels), 1, toxic))
+
+    for i in range(3000):
+        words = rng.choices(plain, k=60)
+        if i < 300:
+            words[rng.randrange(60)] = "common" if i % 10 else "rare"
+        add(words, int(i < 300))
+    wrong = [f"x{i}" for i in range(60)]
+    for _ in range(60):
+        copy = list(wrong)
+        copy[rng.randrange(60)] = rng.choice(plain)
+        add(copy, 1)
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    print("weights", sorted(model.weights.items(), key=lambda x: -x[1])[:5], len(model.weights))
+    assert model.weights["rare"] > DRIFT and model.weights["common"] > DRIFT
+    assert sum(w in model.weights for w in wrong) <= 3

@@ -253,8 +253,8 @@ def _decay(weights: dict[str, float], clean: dict[str, int], n_clean: int) -> fl
     return high
 
 
-def _segments(rows: DataFrame, model: ToxicModel) -> list:
-    """(label, number of tokens, segment scores) of the training rows, which are bounded."""
+def _segments(rows: DataFrame, model: ToxicModel) -> DataFrame:
+    """(label, number of tokens, scores of all segments) of the training rows."""
     weights = model.weights
 
     def run(batches):
@@ -263,11 +263,23 @@ def _segments(rows: DataFrame, model: ToxicModel) -> list:
                 out = []
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = WORD.findall((text or "").lower())
-                    scores = sorted((s for _, _, s in scan(words, weights)), reverse=True)[:50]
-                    out.append((label, len(words), scores))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float32()))], names=["label", "tokens", "scores"])
+                    out.append((label, len(words), [s for _, _, s in scan(words, weights)]))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["label", "tokens", "scores"])
 
-    return rows.select("text", "_toxic").mapInArrow(run, "label int, tokens long, scores array<float>").toArrow().to_pylist()
+    return rows.select("text", "_toxic").mapInArrow(run, "label int, tokens long, scores array<double>")
+
+
+def _features(segments: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of the training rows, which are bounded, from all their segments as in scoring."""
+
+    def run(batches):
+        for batch in batches:
+            known = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            x = [model.features(tokens, [(0, 0, s) for s in scores]) for tokens, scores in known]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in x], pa.float64()) for i in range(FEATURES))], names=["label", *(f"f{i}" for i in range(FEATURES))])
+
+    found = segments.mapInArrow(run, "label int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+    return np.column_stack([found.column(f"f{i}").to_numpy() for i in range(FEATURES)]), found.column("label").to_numpy().astype(float)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -298,17 +310,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     toxic_share = known.agg(F.avg("_toxic")).first()[0] or 0.0
     weights, clean, n_clean = _weights(counts, toxic_share)
     model = ToxicModel(weights)
-    known = _segments(rows, model)
-    y = np.array([r["label"] for r in known], float)
+    segments = stored(_segments(rows, model))
+    known = segments.select("label", "tokens", F.greatest(F.coalesce(F.array_max("scores"), F.lit(0.0)), F.lit(0.0)).alias("best")).toArrow()
+    y, tokens, best = (known.column(c).to_numpy().astype(float) for c in ("label", "tokens", "best"))
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         model.coefficients = (math.log(share / (1 - share)), *(0.0,) * FEATURES)
         return model
     model.rate = _decay(weights, clean, n_clean)
     # exp(-rate * best score) is exponential with mean 1 / (K m) in clean text.
-    background = [(max(r["tokens"], 1), max(r["scores"], default=0.0)) for r in known if not r["label"]]
-    model.k = len(background) / sum(m * math.exp(-model.rate * s) for m, s in background)
-    x = np.array([model.features(r["tokens"], [(0, 0, s) for s in r["scores"]]) for r in known])
+    background = (np.maximum(tokens, 1) * np.exp(-model.rate * best))[y == 0]
+    model.k = float(len(background) / background.sum())
+    x, y = _features(segments, model)
     model.coefficients = tuple(float(c) for c in _logistic(x, y))
     return model
 

@@ -2,7 +2,7 @@ import random
 import zlib
 
 from slabscan.llm import queries
-from slabscan.llm.toxicity import DRIFT, ToxicModel, fit, reject_toxic, scan, score
+from slabscan.llm.toxicity import DRIFT, ToxicModel, _features, _segments, fit, reject_toxic, scan, score
 
 
 def brute_segments(scores):
@@ -81,3 +81,14 @@ def test_rare_words_and_copies(spark):
     print("weights", sorted(model.weights.items(), key=lambda x: -x[1])[:5], len(model.weights))
     assert model.weights["rare"] > DRIFT and model.weights["common"] > DRIFT
     assert sum(w in model.weights for w in wrong) <= 3
+
+
+def test_features_use_all_segments(spark):
+    """A document of 200 passages is fitted on the features that it is scored with."""
+    model = ToxicModel({"bad": 4.0}, rate=1.0, k=0.001)
+    text = ("bad " + "plain " * 20) * 200
+    rows = spark.createDataFrame([(text, 1)], "text string, _toxic int")
+    words = text.split()
+    x, y = _features(_segments(rows, model), model)
+    assert y.tolist() == [1.0] and len(scan(words, model.weights)) == 200
+    assert x[0].tolist() == list(model.features(len(words), scan(words, model.weights)))

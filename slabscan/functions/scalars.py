@@ -108,7 +108,18 @@ def flight_day(date: Column) -> Column:
 
 
 def timestamp_of(millis: Column) -> Column:
-    return F.timestamp_millis(millis)
+    """Milliseconds from 1970 as a TIMESTAMP_NTZ, whatever the session's zone."""
+    seconds = (millis / F.lit(1000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def parse_date(text: Column) -> Column:
+    """yyyy-mm-dd as a DATE; NULL for a day that isn't in the calendar."""
+    return text.try_cast("date")
+
+
+def print_date(date: Column) -> Column:
+    return F.date_format(date, "yyyy-MM-dd")
 
 
 def pack_chars(text: Column) -> Column:
@@ -124,6 +135,11 @@ def tid_page(tid: Column) -> Column:
     return F.shiftrightunsigned(tid, 16)
 
 
+def tid_page_id(tid: Column, segment: Column) -> Column:
+    """The page with the segment in the 16 bits above it."""
+    return tid_page(tid).bitwiseXOR(F.shiftleft(segment.cast("bigint"), 48))
+
+
 def tid_slot(tid: Column) -> Column:
     return tid.bitwiseAND(F.lit(0xFFFF))
 
@@ -148,6 +164,15 @@ def hash_number(value: Column) -> Column:
     return x.bitwiseXOR(F.shiftleft(x, 17))
 
 
+def hash_text(text: Column) -> Column:
+    """Bytes folded into 32 bits: rotated left by five, then xor the byte."""
+    raw = F.encode(text, "UTF-8")
+    places = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw))).otherwise(F.array().cast("array<int>"))
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint")
+    turned = lambda h: F.shiftleft(h, 5).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftrightunsigned(h, 27))
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda h, i: turned(h).bitwiseXOR(byte(i)))
+
+
 def hash_key(*hashes: Column) -> Column:
     out = hashes[0]
     for h in hashes[1:]:

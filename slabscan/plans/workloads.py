@@ -2,65 +2,67 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabscan.predicate import Between, Eq, Lt, conjunction
-from slabscan.sources.loaders import lineitem, table
+from slabscan.sources.loaders import lineitem_store, table
+from slabscan.types import BLOCK_CAPACITY
 
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def _shipped(first: str, last: str):
-    """Ship dates of whole days from first to last, as a range of the stored timestamp.
+def _shipped(first: str, last: str) -> Between:
+    """Ship dates from first to last, on the DATE that the block files hold."""
+    return Between("ship_d", datetime.date.fromisoformat(first), datetime.date.fromisoformat(last))
+
 
-    The range is on the column itself, so that it reaches the Parquet scan; a
-    cast of the column to DATE would not.
-    """
-    t = F.col("l_shipdate")
-    return (t >= F.lit(first).cast("timestamp_ntz")) & (t < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz"))
+def _rows(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
+    return lineitem_store(spark, sf_dir, capacity).blocks
 
 
-def q1_leg(spark: SparkSession, sf_dir: str, cutoff: str = "1998-09-02") -> DataFrame:
-    rows = lineitem(spark, sf_dir).where(F.col("l_shipdate") < F.lit(cutoff).cast("timestamp_ntz"))
+def q1_leg(spark: SparkSession, sf_dir: str, cutoff: str = "1998-09-02", capacity: int = BLOCK_CAPACITY) -> DataFrame:
+    rows = _rows(spark, sf_dir, capacity).where(Lt("ship_d", datetime.date.fromisoformat(cutoff)).column())
     return rows.select(*KEYS, "discount_pct", "price_cents", "l_returnflag", "l_linestatus", "quantity")
 
 
-def q6_leg(spark: SparkSession, sf_dir: str, first: str = "1996-01-01", last: str = "1996-12-31", discount: tuple[int, int] = (5, 7), quantity: int = 24) -> DataFrame:
-    rows = lineitem(spark, sf_dir).where(_shipped(first, last))
-    return rows.where(conjunction([Between("discount_pct", *discount), Lt("quantity", quantity)])).select(*KEYS, "discount_pct", "price_cents")
+def q6_leg(spark: SparkSession, sf_dir: str, first: str = "1996-01-01", last: str = "1996-12-31", discount: tuple[int, int] = (5, 7), quantity: int = 24, capacity: int = BLOCK_CAPACITY) -> DataFrame:
+    wanted = conjunction([_shipped(first, last), Between("discount_pct", *discount), Lt("quantity", quantity)])
+    return _rows(spark, sf_dir, capacity).where(wanted).select(*KEYS, "discount_pct", "price_cents")
 
 
-def q6_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q6_sweep(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
     """The number of matches as each predicate narrows, all from one scan."""
-    rows = lineitem(spark, sf_dir)
+    rows = _rows(spark, sf_dir, capacity)
     steps = [(f"shipdate>={m:02d}", _shipped(f"1996-{m:02d}-01", "1996-12-31")) for m in range(1, 13)]
-    steps += [("discount 5..7", Between("discount_pct", 5, 7).column()), ("discount 6..7", Between("discount_pct", 6, 7).column()), ("discount 5..6", Between("discount_pct", 5, 6).column())]
-    steps += [(f"quantity<{n}", Lt("quantity", n).column()) for n in (24, 5, 2)]
-    counts = rows.agg(*(F.count(F.when(cond, 1)).alias(f"n{i}") for i, (_, cond) in enumerate(steps)))
+    steps += [("discount 5..7", Between("discount_pct", 5, 7)), ("discount 6..7", Between("discount_pct", 6, 7)), ("discount 5..6", Between("discount_pct", 5, 6))]
+    steps += [(f"quantity<{n}", Lt("quantity", n)) for n in (24, 5, 2)]
+    counts = rows.agg(*(F.count(F.when(p.column(), 1)).alias(f"n{i}") for i, (_, p) in enumerate(steps)))
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("step"), F.col(f"n{i}").alias("matches")) for i, (name, _) in enumerate(steps))))
     return counts.select(each.alias("s")).select("s.step", "s.matches")
 
 
-def q7_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineitem(spark, sf_dir).where(_shipped("1995-01-01", "1996-12-31"))
+def q7_leg(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
+    rows = _rows(spark, sf_dir, capacity).where(_shipped("1995-01-01", "1996-12-31").column())
     return rows.select(*KEYS, "discount_pct", "price_cents")
 
 
-def q12_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q12_leg(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
     """The data has no receipt date and ship mode; ship date and return flag stand for them."""
-    rows = lineitem(spark, sf_dir).where(_shipped("1996-01-01", "1996-12-31")).where(Eq("l_returnflag", "R").column())
-    return rows.select(*KEYS, "ship_d")
+    wanted = conjunction([_shipped("1996-01-01", "1996-12-31"), Eq("l_returnflag", "R")])
+    return _rows(spark, sf_dir, capacity).where(wanted).select(*KEYS, "ship_d")
 
 
 def nation_lookup(spark: SparkSession, sf_dir: str, name: str = "NATION_7") -> DataFrame:
     return table(spark, sf_dir, "nation").where(Eq("n_name", name).column()).select("n_nationkey", "n_name")
 
 
-def q1_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q1_full(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
     """Extension: the aggregation on top of the leg."""
     return (
-        q1_leg(spark, sf_dir)
+        q1_leg(spark, sf_dir, capacity=capacity)
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.sum("quantity").alias("sum_qty"),
@@ -71,6 +73,6 @@ def q1_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q6_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q6_full(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
     """Extension: revenue in units of 1/10000."""
-    return q6_leg(spark, sf_dir).agg(F.coalesce(F.sum(F.col("price_cents") * F.col("discount_pct")), F.lit(0)).alias("revenue_units"))
+    return q6_leg(spark, sf_dir, capacity=capacity).agg(F.coalesce(F.sum(F.col("price_cents") * F.col("discount_pct")), F.lit(0)).alias("revenue_units"))

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slabscan.types import literal
+
 
 @dataclass(frozen=True)
 class Predicate:
@@ -38,13 +40,13 @@ class Eq(Predicate):
     value: Any
 
     def column(self):
-        return F.col(self.name) == F.lit(self.value)
+        return F.col(self.name) == literal(self.value)
 
     def _none(self, low, high):
-        return (F.lit(self.value) < low) | (F.lit(self.value) > high)
+        return (literal(self.value) < low) | (literal(self.value) > high)
 
     def _every(self, low, high):
-        return (low == F.lit(self.value)) & (high == F.lit(self.value))
+        return (low == literal(self.value)) & (high == literal(self.value))
 
 
 @dataclass(frozen=True)
@@ -52,13 +54,13 @@ class Gt(Predicate):
     value: Any
 
     def column(self):
-        return F.col(self.name) > F.lit(self.value)
+        return F.col(self.name) > literal(self.value)
 
     def _none(self, low, high):
-        return high <= F.lit(self.value)
+        return high <= literal(self.value)
 
     def _every(self, low, high):
-        return low > F.lit(self.value)
+        return low > literal(self.value)
 
 
 @dataclass(frozen=True)
@@ -66,13 +68,13 @@ class Lt(Predicate):
     value: Any
 
     def column(self):
-        return F.col(self.name) < F.lit(self.value)
+        return F.col(self.name) < literal(self.value)
 
     def _none(self, low, high):
-        return low >= F.lit(self.value)
+        return low >= literal(self.value)
 
     def _every(self, low, high):
-        return high < F.lit(self.value)
+        return high < literal(self.value)
 
 
 @dataclass(frozen=True)
@@ -83,13 +85,13 @@ class Between(Predicate):
     high: Any
 
     def column(self):
-        return F.col(self.name).between(F.lit(self.low), F.lit(self.high))
+        return F.col(self.name).between(literal(self.low), literal(self.high))
 
     def _none(self, low, high):
-        return (high < F.lit(self.low)) | (low > F.lit(self.high)) | (F.lit(self.low) > F.lit(self.high))
+        return (high < literal(self.low)) | (low > literal(self.high)) | (literal(self.low) > literal(self.high))
 
     def _every(self, low, high):
-        return (low >= F.lit(self.low)) & (high <= F.lit(self.high))
+        return (low >= literal(self.low)) & (high <= literal(self.high))
 
 
 def conjunction(predicates: Iterable[Predicate]) -> Column:

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slabscan.functions import scalars
-from slabscan.sources.blocks import assign_blocks
+from slabscan.sources.blocks import BlockStore, store_once
 from slabscan.types import BLOCK_CAPACITY, scaled, sentinel
 
 #: A total order of lineitem at every scale of the test data.
 LINEITEM_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
+LINEITEM_INTS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "price_cents", "discount_pct", "tax_pct")
+LINEITEM_VALUES = (*LINEITEM_INTS, "ship_d")
+LINEITEM_STRINGS = ("l_returnflag", "l_linestatus")
+
 #: Pipe-delimited lineitem text, in its public column order.
 LINEITEM_TEXT = T.StructType(
     [
@@ -65,8 +69,13 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_blocks(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> DataFrame:
-    return assign_blocks(lineitem(spark, sf_dir), LINEITEM_ORDER, F.to_date("l_shipdate"), capacity)
+def lineitem_store(spark: SparkSession, sf_dir: str, capacity: int = BLOCK_CAPACITY) -> BlockStore:
+    """lineitem as a block table, clustered by ship date; written when the session first asks for it.
+
+    Its files hold the integer domain and the DATE, so predicates on them reach the scan.
+    """
+    rows = lineitem(spark, sf_dir)
+    return store_once(spark, "lineitem", rows.inputFiles(), capacity, lambda path: BlockStore.create(rows, path, LINEITEM_ORDER, LINEITEM_VALUES, LINEITEM_STRINGS, capacity))
 
 
 def read_lineitem_text(spark: SparkSession, path: str) -> DataFrame:

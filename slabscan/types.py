@@ -17,11 +17,31 @@ U64 = T.DecimalType(20, 0)
 U64_MAX = (1 << 64) - 1
 
 
+class Unsigned(int):
+    """An integer that a predicate compares in the unsigned domain."""
+
+
+def literal(value) -> Column:
+    """A literal of a predicate."""
+    return u64(value) if isinstance(value, Unsigned) else F.lit(value)
+
+
 def u64(value: int) -> Column:
     """A literal of the unsigned domain."""
     if not 0 <= value <= U64_MAX:
         raise ValueError(f"{value} is outside the unsigned 64-bit range")
-    return F.lit(str(value)).cast(U64)
+    return F.lit(str(int(value))).cast(U64)
+
+
+def unsigned(bits: Column) -> Column:
+    """The 64 bits of a BIGINT as an unsigned number."""
+    return F.when(bits < 0, bits.cast(U64) + u64(1 << 63) + u64(1 << 63)).otherwise(bits).cast(U64)
+
+
+def signed_bits(value: Column) -> Column:
+    """The BIGINT with the 64 bits of an unsigned number; the inverse of ``unsigned``."""
+    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(value >= half, value - half - half).otherwise(value).cast("bigint")
 
 
 def scaled(col: Column, digits: int = 2) -> Column:

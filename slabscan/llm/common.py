@@ -3,68 +3,89 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import contextvars
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _top(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/slabscan-{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor can read.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    taken, and kept for the session.
+    Where it is unset, a session on one machine takes its warehouse, and any
+    other is refused: a folder of one machine isn't seen by the others.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("slabscan.shared.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="slabscan")
-        spark.conf.set("slabscan.shared.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_top(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; for when no result that reads them is needed any more."""
+    drop_path(spark, _top(spark))
 
 
 #: Bytes of an Arrow batch between the JVM and Python; two workers of an executor hold a few each.
 BATCH_BYTES = 16 << 20
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``; a lower one stays."""
+    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``; a lower one stays.
+
+    It holds for the session, as results are computed after the call that made them.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", str(spark.conf.get(name)).strip().lower()).groups()
+    now = int(number) * _UNITS[unit]
     if now < 0 or now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+#: The tables of the scopes that are open in this thread, innermost last.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("slabscan_scopes", default=())
+
+
+def stored(df: DataFrame, path: str | None = None, partition_by: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor takes nothing along."""
     path = path or shared_dir(df.sparkSession)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-_SCOPES: list[list[str]] = []
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside are deleted at the end, but for those given to the function that it yields."""
+    """Tables written inside, by this thread, are deleted at the end, but for those given to the function that it yields."""
     kept: list[str] = []
-    _SCOPES.append([])
+    outer = _SCOPES.get()
+    own: list[str] = []
+    token = _SCOPES.set((*outer, own))
     try:
         yield lambda *tables: kept.extend(t._stored_at for t in tables)
     finally:
-        paths = _SCOPES.pop()
-        for path in paths:
+        _SCOPES.reset(token)
+        for path in own:
             if path not in kept:
                 drop_path(spark, path)
-        if _SCOPES:
-            _SCOPES[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -72,6 +93,62 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a file whose flags are one bitmap, which the bitmap functions fix at 4 KiB.
+CHUNK_ROWS = 32768
+#: Bytes of flags that are broadcast at once.
+FLAG_BYTES = 64 << 20
+
+
+def in_files(df: DataFrame) -> DataFrame:
+    """The table itself if its rows have places in files, or else a stored copy of it."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+        return df
+    except AnalysisException:
+        return stored(df)
+
+
+def places(df: DataFrame) -> list[Column]:
+    """``_file`` and ``_at`` of each row of a table in files: they name the row in every run."""
+    hidden = df.metadataColumn("_metadata")
+    return [hidden["file_path"].alias("_file"), hidden["row_index"].alias("_at")]
+
+
+def without_rows(df: DataFrame, dropped: DataFrame, max_bytes: int = FLAG_BYTES) -> DataFrame:
+    """The rows of a table in files but for those at the places (_file, _at) of ``dropped``; no row of ``df`` shuffles.
+
+    The places become bitmaps of 32768 rows, one bit a row, which are broadcast
+    while they take at most ``max_bytes``.  Larger sets are split by file into
+    as many passes as needed, and each pass reads only its own files.
+    """
+    columns = df.columns
+    chunk = F.expr(f"_at div {CHUNK_ROWS}").alias("_chunk")
+    bit = F.bitmap_bit_position(F.col("_at") % CHUNK_ROWS + 1)
+    flags = stored(dropped.select("_file", chunk, "_at").groupBy("_file", "_chunk").agg(F.bitmap_construct_agg(bit).alias("_bits")))
+    passes = max(1, -(-flags.count() * (CHUNK_ROWS // 8) // max(max_bytes, CHUNK_ROWS // 8)))
+    hidden = df.metadataColumn("_metadata")
+    file, at = hidden["file_path"], hidden["row_index"]
+
+    def one(turn: int) -> DataFrame:
+        rows, own = df, flags
+        if passes > 1:
+            rows, own = rows.where(F.pmod(F.xxhash64(file), F.lit(passes)) == turn), own.where(F.pmod(F.xxhash64("_file"), F.lit(passes)) == turn)
+        placed = rows.select(F.struct(*(rows[c] for c in columns)).alias("_row"), file.alias("_file"), F.floor(at / CHUNK_ROWS).alias("_chunk"), (at % CHUNK_ROWS).alias("_bit"))
+        joined = placed.join(F.broadcast(own), ["_file", "_chunk"], "left")
+        return joined.where(F.col("_bits").isNull() | ~bit_is_set("_bits", "_bit")).select("_row.*")
+
+    out = one(0)
+    for turn in range(1, passes):
+        out = out.unionAll(one(turn))
+    return out
+
+
+def bit_is_set(bitmap: str, bit: str) -> Column:
+    """Whether a bitmap's bit, counted from 0, is set."""
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast({bit} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col(bit) % 8).cast("int"))) != 0
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two columns that tell rows apart even where ids are null or repeated with other texts."""
     return [F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")]

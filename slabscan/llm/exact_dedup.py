@@ -1,15 +1,14 @@
 """Exact dedup with two passes over a Bloom filter, in DataFrame functions only.
 
-Pass one sets, for each text hash, a few positions of one 32768-bit block of
-the filter, counts how many rows set each position, and keeps the positions
-that two or more rows set.  Pass two tests each row: if any of its positions
-was set once only, its text occurs once, and the row passes straight through.
-Only the other rows shuffle to their group.
+Pass one sets, for each text hash, a few positions of the filter and keeps the
+positions that two or more rows set.  Pass two tests each row: if any of its
+positions was set once only, its text occurs once, and the row passes straight
+through.  Only the other rows' hashes shuffle to their group, and never a text.
 
 The filter has ``bits_per_row`` bits for each row and holds only repeated
-positions, a 4 KiB bitmap for each block that has any.  It is broadcast while
-its full size is at most ``max_broadcast_bytes``; beyond that the same join
-runs as a shuffle of hashes against the filter's blocks.
+positions, in blocks of 32768 bits.  It is broadcast; while its full size is
+above ``max_broadcast_bytes``, the hashes are written by ranges of blocks and
+each range is tested in a pass of its own, which reads only its own hashes.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import stored
+from slabscan.llm.common import bit_is_set, in_files, places, stored, without_rows
 
 BLOCK_BITS = 32768
-HASHES = 3
+HASHES = 2
 BITS_PER_ROW = 32
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -31,41 +30,68 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(one, " {2,}", " ")
 
 
-def _places(digest: str, blocks: int) -> list[Column]:
-    """The block of a SHA-256 digest and its positions there, from separate bits of the digest."""
-    word = lambda at: F.conv(F.hex(F.substring(digest, at, 4)), 16, 10).cast("bigint")
-    long = F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("bigint")
-    positions = F.array(*((word(9 + 4 * i) % BLOCK_BITS).cast("int") for i in range(HASHES)))
-    return [(long % blocks).alias("_block"), positions.alias("_at")]
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256)).alias("digest")
 
 
-def repeated_filter(digests: DataFrame, blocks: int) -> DataFrame:
-    """(block, bitmap) of the positions that two or more rows set; ``digests`` has the column ``digest``."""
-    set_by = digests.select(*_places("digest", blocks)).select("_block", F.explode(F.array_distinct("_at")).alias("_bit"))
-    twice = set_by.groupBy("_block", "_bit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return twice.groupBy("_block").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_bit").cast("bigint") + 1)).alias("_bits"))
+def _number(digest: str, start: int, size: int) -> Column:
+    return F.conv(F.hex(F.substring(digest, start, size)), 16, 10).cast("bigint")
 
 
-def flag_repeats(rows: DataFrame, bitmaps: DataFrame, blocks: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Add ``maybe_repeated``: true for every row whose digest occurs again, and for few others."""
-    if blocks * BLOCK_BITS // 8 <= max_broadcast_bytes:
-        bitmaps = F.broadcast(bitmaps)
-    placed = rows.select("*", *_places("digest", blocks))
+def _block(digest: str, blocks: int) -> Column:
+    return _number(digest, 1, 7) % blocks
 
-    def is_set(i: int) -> Column:
-        byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at[{i}] div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        mask = F.element_at(F.array(*(F.lit(1 << b) for b in range(8))), F.get("_at", F.lit(i)) % 8 + 1)
-        return byte.bitwiseAND(mask) > 0
 
-    every = is_set(0)
-    for i in range(1, HASHES):
-        every = every & is_set(i)
-    joined = placed.join(bitmaps, "_block", "left")
-    return joined.withColumn("maybe_repeated", F.coalesce(every, F.lit(False))).drop("_block", "_at", "_bits")
+def _position(digest: str, i: int) -> Column:
+    """One of the digest's positions inside its block, from bytes that choose nothing else."""
+    return _number(digest, 9 + 4 * i, 4) % BLOCK_BITS
 
 
-def filter_blocks(rows: int, bits_per_row: int = BITS_PER_ROW) -> int:
-    return max(1, -(-rows * bits_per_row // BLOCK_BITS))
+def repeated_filter(digests: DataFrame, blocks: int) -> DataFrame:
+    """(_block, _bits) of the positions that two or more rows set; ``digests`` has the column ``digest``."""
+    start = _block("digest", blocks) * BLOCK_BITS
+    set_by = digests.select(F.explode(F.array_distinct(F.array(*(start + _position("digest", i) for i in range(HASHES))))).alias("_place"))
+    twice = set_by.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    bit = F.bitmap_bit_position(F.col("_place") % BLOCK_BITS + 1)
+    return twice.groupBy(F.expr(f"_place div {BLOCK_BITS}").alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+
+
+class RepeatFilter:
+    """The filter of a table of digests: ``stored`` has them by ranges of blocks, ``flagged`` adds ``maybe_repeated``."""
+
+    def __init__(self, digests: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
+        self.blocks = max(1, -(-rows * bits_per_row // BLOCK_BITS))
+        self.passes = max(1, -(-self.blocks * (BLOCK_BITS // 8) // max(max_broadcast_bytes, BLOCK_BITS // 8)))
+        if self.passes > 1:
+            ranged = digests.withColumn("_range", self._range(_block("digest", self.blocks)))
+            self.digests = stored(ranged, partition_by="_range")
+        else:
+            self.digests = stored(digests)
+        self.bitmaps = stored(repeated_filter(self.digests, self.blocks))
+
+    def _range(self, block: Column) -> Column:
+        return F.floor(block * self.passes / self.blocks).cast("int")
+
+    def flagged(self) -> DataFrame:
+        """All digests, with ``maybe_repeated``: true for every one that occurs again, and for few others."""
+        out = None
+        for turn in range(self.passes):
+            rows, bitmaps = self.digests, self.bitmaps
+            if self.passes > 1:
+                rows, bitmaps = rows.where(F.col("_range") == turn).drop("_range"), bitmaps.where(self._range(F.col("_block")) == turn)
+            columns = rows.columns
+            placed = rows.withColumns({"_block": _block("digest", self.blocks)} | {f"_bit{i}": _position("digest", i) for i in range(HASHES)})
+            every = bit_is_set("_bits", "_bit0")
+            for i in range(1, HASHES):
+                every = every & bit_is_set("_bits", f"_bit{i}")
+            tested = placed.join(F.broadcast(bitmaps), "_block", "left").select(*columns, F.coalesce(every, F.lit(False)).alias("maybe_repeated"))
+            out = tested if out is None else out.unionByName(tested)
+        return out
+
+
+def _first() -> Column:
+    """The row of a group that stays: the smallest id, a null id last, and one of several rows with it."""
+    return F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -74,36 +100,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text is empty text.  Of equal texts the row with the smallest id
     stays; a null id counts as larger than any other, so keep_id is null only
     when all ids of a group are.  Of rows that share that id, exactly one
-    stays.  An empty table gives no rows; other columns are ignored.
+    stays.  Very long texts are hashed whole.  An empty table gives no rows;
+    other columns, whatever their names, are ignored.
 
     The digests, about 50 bytes a row, are written once; texts never shuffle.
     """
-    digests = stored(docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), F.monotonically_increasing_id().alias("_row")))
-    blocks = filter_blocks(digests.count())
-    bitmaps = stored(repeated_filter(digests, blocks))
-    flagged = stored(flag_repeats(digests, bitmaps, blocks, max_broadcast_bytes))
+    digests = docs.select(F.col(id_col).alias("_id"), digest_of(F.col(text_col)), F.monotonically_increasing_id().alias("_row"))
+    flagged = stored(RepeatFilter(digests, docs.count(), max_broadcast_bytes=max_broadcast_bytes).flagged())
     hexed = F.lower(F.hex("digest")).alias("text_sha256")
     once = flagged.where("not maybe_repeated").select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), hexed)
     again = flagged.where("maybe_repeated").select("_id", "digest", "_row")
-    first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     # A hot digest is one row of the written groups, so its many rows on the other side can be split as a skewed join.
-    groups = stored(again.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first")))
+    groups = stored(again.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _first()))
     told = again.join(groups.hint("merge"), "digest").select(F.col("_id").alias(id_col), F.col("_first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first.row")).alias("kept"), hexed)
     return once.unionByName(told)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns; those that the filter clears never shuffle.
+    """The rows that stay, with all their columns, by the rules of ``exact_dedup``.
 
-    Which one of several rows with the smallest id of their group stays is
-    not defined, but exactly one does.
+    Only hashes shuffle, and only those that the filter doesn't clear; the
+    rows to drop are told by their places in the files, so no document
+    shuffles at any size.  A table that isn't read from files is written first.
     """
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_doc"), F.col(id_col).alias("_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
-    digests = stored(rows.select("digest"))
-    blocks = filter_blocks(digests.count())
-    bitmaps = stored(repeated_filter(digests, blocks))
-    flagged = flag_repeats(rows, bitmaps, blocks, max_broadcast_bytes)
-    once = flagged.where("not maybe_repeated").select("_doc.*")
-    first = flagged.where("maybe_repeated").groupBy("digest").agg(F.min_by("_doc", F.struct(F.col("_id").isNull(), F.col("_id"))).alias("_doc"))
-    return once.unionByName(first.select("_doc.*"))
+    docs = in_files(docs)
+    digests = docs.select(docs[id_col].alias("_id"), digest_of(docs[text_col]), F.struct(*places(docs)).alias("_row"))
+    again = RepeatFilter(digests, docs.count(), max_broadcast_bytes=max_broadcast_bytes).flagged().where("maybe_repeated").select("_id", "digest", "_row")
+    again = stored(again)
+    groups = stored(again.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), _first()).where("_n > 1").select("digest", F.col("_first.row").alias("_stays")))
+    dropped = again.join(groups.hint("merge"), "digest").where("_row != _stays").select("_row.*")
+    return without_rows(docs, dropped, max_broadcast_bytes)

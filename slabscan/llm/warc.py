@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import shared_dir, split_batch, stored
+from slabscan.llm.common import in_files, places, shared_dir, split_batch, stored, without_rows
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -30,7 +30,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 8 << 20
 LEVEL = 3
-BROADCAST_REVISITS = 100_000
+#: Bundles that ``fetch_records`` names in its scan; of more, all are read.
+NAMED_BUNDLES = 1000
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, bundle string, frame int, offset long, length long"
 
@@ -44,9 +45,9 @@ def _page(name: str) -> int | None:
     return None if value == "none" else int(value)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP head of its payload and no body."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def make_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: bytes, refers_to: int | None, date: str) -> bytes:
+    """One WARC/1.1 record; a revisit has the HTTP head of its payload of ``size`` bytes and no body."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
     target = "".join(c if c > " " else "%%%02X" % ord(c) for c in url) if url else None
     fields = [
@@ -140,12 +141,16 @@ def payload_of(block: bytes) -> tuple[int, bytes]:
     return int(head.rpartition(b"Content-Length: ")[2]), body
 
 
-def plan_revisits(pages: DataFrame, id_col: str, html_col: str, min_payload_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit an equal payload with a larger id."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    digests = stored(pages.where(F.octet_length(html) >= min_payload_bytes).select(F.col(id_col).alias("_page"), F.unhex(F.sha1(html)).alias("_digest")))
-    groups = digests.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("_page").alias("_refers_to")).where("_n > 1")
-    return digests.join(groups, "_digest").where("_page is null or _page < _refers_to").where("_refers_to is not null").select("_page", "_digest", "_refers_to").distinct()
+def plan_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_payload_bytes: int) -> DataFrame:
+    """(_file, _at, _page, _url, _size, _digest, _refers_to) of the rows that revisit an equal payload with a larger id; no payload shuffles."""
+    html = F.coalesce(pages[html_col], F.lit(""))
+    size = F.octet_length(html).cast("bigint")
+    rows = pages.where(size >= min_payload_bytes).select(*places(pages), pages[id_col].cast("bigint").alias("_page"), pages[url_col].alias("_url"), size.alias("_size"), F.unhex(F.sha1(html)).alias("_digest"))
+    rows = stored(rows)
+    groups = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("_page").alias("_refers_to")).where("_n > 1 and _refers_to is not null")
+    # A digest that many pages share is one row of the written groups, so its pages can be split as a skewed join.
+    groups = stored(groups.select("_digest", "_refers_to"))
+    return stored(rows.join(groups.hint("merge"), "_digest").where("_page is null or _page < _refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -154,22 +159,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least ``min_payload_bytes`` the one with
     the largest id is a response (each, if that id is repeated), the others
     revisit it; without any id all are responses.  Null html is an empty
-    payload, a null url is left out of the record, and an empty table writes
-    no bundle.
+    payload, a null url is left out of the record, very long html is one
+    record, other columns are ignored whatever their names, and an empty table
+    writes no bundle.  Responses go straight from the pages' files to their
+    bundle; only digests, and revisits without their payload, shuffle.
     """
-    revisits = stored(plan_revisits(pages, id_col, html_col, min_payload_bytes))
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    rows = rows.join(revisits, F.col("id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "html", "digest", "_refers_to")
+    pages = in_files(pages)
+    revisits = plan_revisits(pages, id_col, url_col, html_col, min_payload_bytes)
+    rest = without_rows(pages, revisits.select("_file", "_at"))
+    html = F.coalesce(rest[html_col], F.lit(""))
+    responses = rest.select(rest[id_col].cast("bigint").alias("id"), rest[url_col].alias("url"), F.encode(html, "UTF-8").alias("html"), F.octet_length(html).cast("bigint").alias("size"), F.unhex(F.sha1(html)).alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
+    again = revisits.select(F.col("_page").alias("id"), F.col("_url").alias("url"), F.lit(None).cast("binary").alias("html"), F.col("_size").alias("size"), F.col("_digest").alias("digest"), F.col("_refers_to").alias("refers_to"))
+    rows = responses.unionAll(again)
 
     def run(batches: Iterator[pa.RecordBatch]):
         bundler = Bundler()
         for batch in batches:
             for part in split_batch(batch, "html", 8 << 20):
-                for page, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if done := bundler.add(make_record(page, url, payload, digest, refers_to, date)):
+                for record in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if done := bundler.add(make_record(*record, date)):
                         yield _row(done)
         if done := bundler.close():
             yield _row(done)
@@ -207,18 +215,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
-def fetch_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(record_id, record) for rows of the index: record_id, bundle, frame, offset, length; unpacks only their frames."""
+def fetch_records(spark: SparkSession, path: str, wanted: DataFrame, named_bundles: int = NAMED_BUNDLES) -> DataFrame:
+    """(record_id, record) for rows of the index: record_id, bundle, frame, offset, length.
+
+    Reads the bundles that are named in ``wanted``, if those are few enough to
+    name in the scan, and unpacks each wanted frame once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        schema = pa.schema([("record_id", pa.string()), ("record", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
-                entries = seek_table(row["content"])
-                data = read_frame(row["content"], entries[row["frame"]])
-                yield pa.RecordBatch.from_pylist([{"record_id": row["record_id"], "record": data[row["offset"] : row["offset"] + row["length"]]}], schema=pa.schema([("record_id", pa.string()), ("record", pa.binary())]))
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return wanted.join(files, F.col("bundle") == F.col("path")).select("record_id", "frame", "offset", "length", "content").mapInArrow(run, "record_id string, record binary")
+            for content, records in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                bundle = content.as_py()
+                entries, at, data = seek_table(bundle), None, b""
+                for r in sorted(records, key=lambda r: (r["frame"], r["offset"])):
+                    if r["frame"] != at:
+                        at, data = r["frame"], read_frame(bundle, entries[r["frame"]])
+                    yield pa.RecordBatch.from_pylist([{"record_id": r["record_id"], "record": data[r["offset"] : r["offset"] + r["length"]]}], schema=schema)
+
+    files = spark.read.format("binaryFile").load(path)
+    names = [r.name for r in wanted.select(F.element_at(F.split("bundle", "/"), -1).alias("name")).distinct().limit(named_bundles + 1).collect()]
+    if len(names) <= named_bundles:
+        files = files.where(files.metadataColumn("_metadata")["file_name"].isin(names))
+    # At most the records of a bundle in a row.
+    each = wanted.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("records"))
+    return files.select("path", "content").join(each, F.col("bundle") == F.col("path")).select("content", "records").mapInArrow(run, "record_id string, record binary")
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -4,7 +4,8 @@ import hashlib
 import zstandard
 
 from slabscan.llm import queries
-from slabscan.llm.warc import Bundler, archive, fetch_records, parse_record, payload_of, read_archives, read_frame, seek_table, write_archives
+from slabscan.llm.common import without_rows
+from slabscan.llm.warc import Bundler, archive, fetch_records, parse_record, payload_of, plan_revisits, read_archives, read_frame, seek_table, write_archives
 
 ROWS = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/", None), (4, "http://d/x y\r\nz", ""), (5, "e", "é" * 300_000), (6, "f", "alone"), (7, "g", "same"), (7, "g", "same"), (7, "g", "other"), (None, "n", "same"), (None, "n", "none")]
 
@@ -24,7 +25,7 @@ def got(df):
 
 
 def test_cases(spark):
-    pages = spark.createDataFrame([(*r, 1) for r in ROWS], "page_id long, url string, html string, digest int").repartition(2)
+    pages = spark.createDataFrame([(*r, 1) for r in ROWS], "page_id long, url string, html string, _file int").repartition(2)
     assert got(archive(pages)) == brute(ROWS)
     assert got(archive(pages, min_payload_bytes=5)) == brute(ROWS, 5)
     assert got(archive(pages.limit(0))) == []
@@ -52,7 +53,18 @@ def test_random_access(spark, tmp_path):
     path = str(tmp_path / "w")
     write_archives(pages, path)
     index = read_archives(spark, path).where("page_id % 10 = 3")
-    for r in fetch_records(spark, path, index).collect():
+    found = fetch_records(spark, path, index).collect()
+    assert len(found) == 10 and len(fetch_records(spark, path, index, named_bundles=0).collect()) == 10
+    for r in found:
         fields, block, _ = parse_record(bytes(r.record), 0)
         page = int(fields["WARC-Record-ID"].strip("<>").split(":")[-1])
         assert payload_of(block)[1].decode() == f"page {page} " * 2000
+
+
+def test_payloads_never_shuffle(spark, tmp_path):
+    spark.createDataFrame([(i, "u", f"page {i % 7}") for i in range(50)], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    revisits = plan_revisits(pages, "page_id", "url", "html", 0)
+    assert "html" not in revisits.columns and revisits.count() == 43
+    plan = without_rows(pages, revisits.select("_file", "_at"))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "BroadcastExchange" not in line]

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,17 +40,21 @@ LEADERS = 4
 SLICES = 64
 #: Pairs of one leader that a task verifies in one go.
 CHUNK = 512
+#: Bytes of a word above which its hash isn't a polynomial.
+LONG_WORD = 256
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash, hash of all words of each text), with the texts end to end.
+    """(text, shingle hash, 128-bit hash of all words of each text as two columns), with the texts end to end.
 
     Words are runs of bytes other than ASCII white space, with A-Z in lower
     case.  A text of fewer words than a shingle has one shingle of them all; a
-    text without words has none, and 0 for its words.
+    text without words has none, and 0 for its words.  Polynomial hashes modulo
+    2**64 collide by construction from 1,024 symbols on, so they serve only
+    for short words and for the few words of a shingle.
     """
     n = len(offsets) - 1
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -64,11 +69,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     end = np.flatnonzero((edge == 1) & ((after == 0) | np.concatenate([starts_text[1:], [True]]))) + 1
     prefix = POWERS.prefix(lower)
     word = mix64(POWERS.window(prefix, begin, end) + mix64((end - begin).astype(np.uint64)))
+    for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        word[i] = xxhash.xxh3_64_intdigest(lower[begin[i] : end[i]].tobytes())
     text = np.searchsorted(offsets, begin, side="right") - 1
     count = np.bincount(text, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     chain = POWERS.prefix_of(word)
-    whole = np.where(count > 0, mix64(POWERS.window(chain, first[:-1], first[1:]) + count.astype(np.uint64)), np.uint64(0))
+    whole = _words_hash(lower, inside, end, offsets, count)
     size = np.minimum(count, words)
     number = np.where(count > 0, count - size + 1, 0)
     owner = np.repeat(np.arange(n), number)
@@ -77,6 +84,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     return owner, mix64(POWERS.window(chain, a, a + size[owner])), whole
 
 
+def _words_hash(lower: np.ndarray, inside: np.ndarray, end: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """n x 2 halves of a hash of each text's words, one space after each; 0 for a text without words."""
+    size = inside.astype(np.int64)
+    size[end - 1] += 1
+    place = np.concatenate([[0], np.cumsum(size)])
+    plain = np.full(place[-1], 32, np.uint8)
+    plain[place[:-1][inside]] = lower[inside]
+    data, at = plain.tobytes(), place[offsets].tolist()
+    out = np.zeros((len(count), 2), np.uint64)
+    for i in np.flatnonzero(count).tolist():
+        h = xxhash.xxh3_128_intdigest(data[at[i] : at[i + 1]])
+        # 0 stands for no words.
+        out[i] = max(h >> 64, 1), h & (2**64 - 1)
+    return out
+
+
 def weighted_sets(owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, shingle) in order, with the number of times each occurs."""
     order = np.lexsort((shingle, owner))
@@ -115,9 +138,9 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS
 
 
 def sketches(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """The columns ``keep``, ``_class`` (a hash of all words; 0 without words), ``_words`` and ``_bands`` of each row."""
+    """The columns ``keep``, ``_class`` (a hash of all words; 0 without words), ``_check`` (its other half), ``_words`` and ``_bands`` of each row."""
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("_class", "long").add("_words", "long").add("_bands", T.ArrayType(T.LongType()))
+    schema = rows.drop("_text").schema.add("_class", "long").add("_check", "long").add("_words", "long").add("_bands", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
@@ -130,7 +153,7 @@ def sketches(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
                 signature = prob_minhash(owner, shingle, 1 + np.log(count), n, bands * band_rows)
                 hashes = band_hashes(signature, bands, band_rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(whole.view(np.int64)), pa.array(number.astype(np.int64)), lists], names=[*keep, "_class", "_words", "_bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array(number.astype(np.int64)), lists], names=[*keep, "_class", "_check", "_words", "_bands"])
 
     return rows.mapInArrow(run, schema)
 
@@ -153,8 +176,7 @@ def _jaccard_verify(pairs: DataFrame, texts: DataFrame, words: int, similarity:
 
     def sets(part):
         data, offsets = text_bytes(part.column(4))
-        owner, shingle, _ = shingles(data, offsets, words)
-        owner, shingle, _ = weighted_sets(owner, shingle)
+        owner, shingle, _ = weighted_sets(*shingles(data, offsets, words)[:2])
         return np.split(shingle, np.searchsorted(owner, np.arange(1, len(part))))
 
     def run(batches):
@@ -178,11 +200,12 @@ def _jaccard_verify(pairs: DataFrame, texts: DataFrame, words: int, similarity:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: id, class_id, group_id, group_size, kept.
 
-    ``class_id`` is a hash shared by texts of equal words; ``group_id`` is the
-    smallest id of the group, which is kept.  A null id is never the smallest
+    ``class_id`` is a hash shared by texts of equal words, told apart by 128
+    bits; ``group_id`` is the smallest id of the group, which is kept.  A null id is never the smallest
     unless a group has no other.  A document without words is alone in a
     group of its own: its group_id is its id.  Of rows that repeat the
-    smallest id exactly one is kept.  Very long texts are compared whole.
+    smallest id exactly one is kept.  Very long texts are compared whole.  An
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
     told = _judged(docs, id_col, text_col, words, similarity, bands, band_rows)
     return told.select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), "group_id", "group_size", "kept")
@@ -193,19 +216,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-        flat = sketches(docs.select(F.col(id_col).alias("_id"), number.alias("_row"), F.col(text_col).alias("_body")), "_body", ("_id", "_row"), words, bands, band_rows)
-        flat = stored(flat)
+        body = F.col(text_col)
+        rows = docs.select(F.col(id_col).alias("_id"), number.alias("_row"), F.xxhash64(body).alias("_t"), body.alias("_body"))
+        flat = _apart(stored(sketches(rows, "_body", ("_id", "_row", "_t"), words, bands, band_rows)))
         full = flat.where("_words > 0")
         classes = full.groupBy("_class").agg(F.min("_row").alias("_row"))
         # One sketch for each class, at its first row; a join on the row number has no hot key.
-        heads = stored(full.join(classes.select("_row"), "_row", "left_semi").select("_class", "_bands"))
+        heads = stored(full.join(classes.select("_row"), "_row", "left_semi").select("_class", "_bands", "_id", "_t"))
         members = heads.select("_class", F.explode("_bands").alias("_bucket"))
         buckets = stored(members.groupBy("_bucket").agg(F.min("_class").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
         shared = stored(members.join(buckets.select("_bucket", "a").hint("merge"), "_bucket").select("_bucket", "a", F.col("_class").alias("b")))
         near = shared.select("a", "b").where("a != b").distinct()
         # Texts of the classes that share a bucket: any row of a class serves.
-        involved = stored(shared.select(F.col("b").alias("_class")).distinct())
-        texts = _class_texts(docs, text_col, flat, involved, words)
+        involved = stored(heads.join(shared.select(F.col("b").alias("_class")).distinct(), "_class", "left_semi").select("_class", "_id", "_t"))
+        texts = _class_texts(docs, id_col, text_col, involved)
         links = stored(_jaccard_verify(near, texts, words, similarity))
         groups = stored(connected_components(links))
         done = near
@@ -262,8 +286,7 @@ def _profiles(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in split_batch(batch, "_text", 1 << 20):
                 data, offsets = text_bytes(part.column(1))
-                owner, shingle, _ = shingles(data, offsets, words)
-                owner, shingle, _ = weighted_sets(owner, shingle)
+                owner, shingle, _ = weighted_sets(*shingles(data, offsets, words)[:2])
                 at = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))], names=["_class", "_s"])
 
@@ -290,18 +313,28 @@ def _leaders(others: DataFrame) -> DataFrame:
     return others.where("_group = _most").groupBy("_bucket").agg(F.array_compact(F.array(*drawn)).alias("_leaders"))
 
 
-def _class_texts(docs: DataFrame, text_col: str, flat: DataFrame, involved: DataFrame, words: int) -> DataFrame:
-    """(_class, _text) of one document of each class in ``involved``, written once."""
+def _apart(flat: DataFrame) -> DataFrame:
+    """The sketches with one class for each hash of 128 bits: classes whose halves don't agree are split."""
+    full = flat.where("_words > 0")
+    mixed = full.groupBy("_class").agg(F.min("_check").alias("_a"), F.max("_check").alias("_b")).where("_a != _b").select("_class")
+    mixed = stored(mixed)
+    if mixed.isEmpty():
+        return flat
+    other = F.when(F.col("_mixed").isNotNull(), F.xxhash64("_class", "_check")).otherwise(F.col("_class")).alias("_class")
+    told = flat.join(mixed.withColumn("_mixed", F.lit(1)).hint("merge"), "_class", "left")
+    return stored(told.select(*(other if c == "_class" else F.col(c) for c in flat.columns)))
 
-    def run(batches):
-        for batch in batches:
-            for part in split_batch(batch, "_text", 1 << 20):
-                data, offsets = text_bytes(part.column(0))
-                _, _, whole = shingles(data, offsets, words)
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), part.column(0)], names=["_class", "_text"])
 
-    hashed = docs.select(F.col(text_col).alias("_text")).where("_text is not null").mapInArrow(run, "_class long, _text string")
-    found = hashed.join(involved.hint("merge"), "_class", "left_semi")
+def _class_texts(docs: DataFrame, id_col: str, text_col: str, involved: DataFrame) -> DataFrame:
+    """(_class, _text) of the first document of each class in ``involved``, written once.
+
+    The document is found by its id and a hash of its text, so the many copies
+    in a class stay where they are; only rows that repeat both meet.
+    """
+    body = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("_t"), body.alias("_text"))
+    same = rows["_id"].eqNullSafe(involved["_id"]) & (rows["_t"] == involved["_t"])
+    found = rows.join(involved, same).select("_class", "_text")
     return stored(found.groupBy("_class").agg(F.min("_text").alias("_text")))
 
 

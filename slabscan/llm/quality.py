@@ -4,8 +4,9 @@ Each labeller says good, bad or nothing of a document.  The votes of all
 documents are counted by pattern (at most 3 ** labellers patterns), and
 expectation-maximisation estimates how often each labeller gives each vote for
 good and for bad documents, and the share of good ones.  The posterior of a
-document's pattern is its label; a logistic scorer over hashed words, word
-shapes and votes is trained on a bounded sample and scores every document.
+document's pattern is its label; a logistic scorer over hashed words and word
+shapes is trained on a bounded sample and scores every document.  The votes,
+of which the label is a function, aren't among its features.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import bound_batches, split_batch
+from slabscan.llm.common import bound_batches, split_batch, stored
 
 LABELLERS = ("length", "symbols", "word_length", "repeated_lines", "digits", "endings", "variety")
 BUCKETS = 1 << 14
-#: Documents that train the scorer, drawn by a hash of their text; labels come from all documents.
+#: Documents that train the scorer, drawn by a hash of their id and text; labels come from all documents.
 TRAIN_ROWS = 40_000
 EPOCHS = 3
 RATE = 0.5
@@ -89,8 +90,8 @@ def shape(word: str) -> str:
     return _DIGITS.sub("0", _LETTERS.sub("a", word))
 
 
-def features(words: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a document, of length 1 but for the votes."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, some more than once, and values of a document, of length 1."""
     counts = Counter(words)
     shapes: Counter[str] = Counter()
     for w, c in counts.items():
@@ -98,9 +99,19 @@ def features(words: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray]:
     names = [*counts, *(f"\t{s}" for s in shapes)]
     value = np.sqrt(np.array([*counts.values(), *shapes.values()], float))
     at = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in names], np.int64) % BUCKETS if names else np.zeros(0, np.int64)
-    value /= max(float(np.sqrt((value * value).sum())), 1.0)
-    spoken = np.array([zlib.crc32(f"\n{i}{c}".encode()) % BUCKETS for i, c in enumerate(pattern)], np.int64)
-    return np.concatenate([at, spoken]), np.concatenate([value, np.ones(len(spoken))])
+    return at, value / max(float(np.sqrt((value * value).sum())), 1.0)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """The bias and the weights, by steps over the rows in their order; each row has a bucket once."""
+    weights, bias = np.zeros(BUCKETS), 0.0
+    for _ in range(EPOCHS):
+        for at, value, label in rows:
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, bias + float(weights[at] @ value)))))
+            step = RATE * (label - p)
+            weights[at] += step * value
+            bias += step
+    return np.concatenate([[bias], weights])
 
 
 @dataclass
@@ -109,8 +120,8 @@ class QualityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, words: list[str], pattern: str) -> float:
-        at, value = features(words, pattern)
+    def score(self, words: list[str]) -> float:
+        at, value = features(words)
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + float(self.weights[at] @ value)))))
 
 
@@ -124,54 +135,55 @@ def _patterns(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "pattern string")
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Labels from the votes on all documents, and a scorer that learns them.
 
-    Each task trains on its share of the sample and the weights are averaged,
-    so no text leaves its executor.
+    The features of the sample, which ``train_rows`` bounds, go to one task and
+    are learned there in the order of the rows' hashes, so the model is the
+    same however the table is partitioned.
     """
     bound_batches(docs.sparkSession)
     counted = _patterns(docs, text_col).groupBy("pattern").count().collect()  # at most 3 ** 7 patterns
     posterior = estimate({r["pattern"]: r["count"] for r in counted})
     total = sum(r["count"] for r in counted)
-    rows = docs.select(F.col(text_col).alias("_text"))
+    key = F.xxhash64(F.lit("train"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     if total > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), F.coalesce("_text", F.lit(""))), F.lit(total)) < train_rows)
+        rows = rows.where(F.pmod("_key", F.lit(total)) < train_rows)
 
-    def train(batches):
-        weights, bias, n = np.zeros(BUCKETS), 0.0, 0
+    def describe(batches):
         for batch in batches:
             for part in split_batch(batch, "_text", 4 << 20):
-                held = []
-                for t in part.column(0).to_pylist():
+                label, at, value = [], [], []
+                for t in part.column(1).to_pylist():
                     words = (t or "").split()
-                    pattern = votes(t or "", words)
-                    held.append((*features(words, pattern), posterior[pattern]))
-                for _ in range(EPOCHS):
-                    for at, value, label in held:
-                        p = 1 / (1 + math.exp(-min(30.0, max(-30.0, bias + float(weights[at] @ value)))))
-                        step = RATE * (label - p)
-                        np.add.at(weights, at, step * value)
-                        bias += step
-                n += len(held)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS), pa.int32()), pa.array(np.concatenate([[bias], weights]) * n), pa.array(np.full(BUCKETS + 1, n), pa.int64())], names=["bucket", "weight", "n"])
-
-    mixed = rows.mapInArrow(train, "bucket int, weight double, n long").groupBy("bucket").agg((F.sum("weight") / F.sum("n")).alias("w")).collect()
-    weights, bias = np.zeros(BUCKETS), 0.0
-    for r in mixed:
-        if r["bucket"] < 0:
-            bias = r["w"]
-        else:
-            weights[r["bucket"]] = r["w"]
-    return QualityModel(posterior, weights, bias)
+                    label.append(posterior[votes(t or "", words)])
+                    bucket, v = features(words)
+                    buckets, where = np.unique(bucket, return_inverse=True)
+                    at.append(buckets.astype(np.int32))
+                    value.append(np.bincount(where, v, len(buckets)).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["_key", "label", "at", "value"])
+
+    def learn(batches):
+        held = []
+        for batch in batches:
+            for label, at, value in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                held.append((at.values.to_numpy(), value.values.to_numpy(zero_copy_only=False), label))
+        yield pa.RecordBatch.from_arrays([pa.array([train(held)], pa.list_(pa.float64()))], names=["w"])
+
+    sample = stored(rows.mapInArrow(describe, "_key long, label double, at array<int>, value array<float>"))
+    found = sample.repartition(1).sortWithinPartitions("_key", "label").mapInArrow(learn, "w array<double>").collect()
+    w = np.array(found[0].w) if found else np.zeros(BUCKETS + 1)
+    return QualityModel(posterior, w[1:], float(w[0]))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, votes, posterior, score, predicted.
 
-    Null text is empty, and empty text is scored as it is.  Repeated rows and
-    null ids get a row each; other columns are ignored.
+    Null text is empty, and empty text is scored as it is, by the bias alone.
+    Very long texts are scored whole.  Repeated rows and null ids get a row
+    each; an empty table gives none; other columns, whatever their names, are
+    ignored.
     """
 
     def run(batches):
@@ -181,7 +193,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 for t in part.column(1).to_pylist():
                     words = (t or "").split()
                     pattern = votes(t or "", words)
-                    out.append((pattern, model.posterior.get(pattern, 0.5), model.score(words, pattern)))
+                    out.append((pattern, model.posterior.get(pattern, 0.5), model.score(words)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64())))], names=["doc_id", "votes", "posterior", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))

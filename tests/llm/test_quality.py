@@ -1,7 +1,12 @@
+import collections
+import math
+import zlib
+
 import numpy as np
+import pytest
 
 from slabscan.llm import queries
-from slabscan.llm.quality import estimate, fit, score, votes
+from slabscan.llm.quality import BUCKETS, estimate, fit, score, shape, votes
 
 
 def test_estimate_finds_the_better_labellers():
@@ -37,3 +42,31 @@ def test_against_labels(spark):
     bad = [r.predicted for r in rows if not r.quality]
     print("kept of good", sum(good) / len(good), "kept of bad", sum(bad) / len(bad), len(good), len(bad))
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.5
+
+
+@pytest.mark.parametrize("train_rows", [300, 40_000])
+def test_same_for_any_partitioning(spark, train_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for n in (1, 64, 1000):
+        dealt = docs.repartition(n)
+        model = fit(dealt, train_rows=train_rows)
+        found.append({(r.doc_id, r.score) for r in score(dealt, model).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1000
+
+
+def test_scores_by_brute_force(spark):
+    """The score of each document of the query, from the model's weights, word by word."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in queries.op8_quality(spark, sf).collect():
+        parts = collections.Counter()
+        for w in texts[r.doc_id].split():
+            parts[w] += 1
+            parts["\t" + (w if len(w) < 2 else shape(w) if not w.isalpha() else "a")] += 1
+        norm = max(1.0, math.sqrt(sum(parts.values())))
+        x = model.bias + sum(math.sqrt(n) / norm * model.weights[zlib.crc32(p.encode()) % BUCKETS] for p, n in parts.items())
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, x))))) < 1e-9
+        assert r.predicted == (r.score >= 0.5) and r.votes == votes(texts[r.doc_id], texts[r.doc_id].split())

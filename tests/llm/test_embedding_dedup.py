@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from slabscan.llm import queries
-from slabscan.llm.embedding_dedup import near_vectors
+from slabscan.llm.embedding_dedup import SPACING, choose_pivots, near_vectors, nearest_pivots
 
 
 def brute(rows, cosine=0.93):
@@ -50,20 +50,52 @@ def test_cases(spark, part):
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, _rep string").repartition(3)
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, part=part).collect()), key=repr)
     want = brute(rows)
-    assert len(got) == len(want)
-    assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert got == want
+    kept = {(r.vec_id, r.component_id) for r in near_vectors(df, part=part).collect() if r.kept}
+    assert all(a == b for a, b in kept)
     assert near_vectors(df.limit(0)).collect() == []
 
 
-def test_recall(spark):
+def test_query(spark):
+    """All rows of the query on a table without links of distinct vectors, and with all copies linked."""
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    want = brute(rows)
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in queries.op4_embedding_dedup(spark, sf).collect()), key=repr)
-    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
-    found, there = sum(g[1] for g in got), sum(w[1] for w in want)
-    print("recall", found, there)
-    assert found >= 0.97 * there
+    assert got == brute(rows)
+
+
+def scattered_pairs(n, rng):
+    """Pairs of distinct vectors with a cosine of about 0.935, in no group."""
+    x = rng.normal(size=(n // 2, 64))
+    return np.concatenate([x, x + rng.normal(size=x.shape) * 0.38])
+
+
+@pytest.mark.parametrize("n", [2_000, 12_000])
+def test_recall_of_scattered_pairs(spark, n):
+    """The links that the index finds, of all that there are, at two sizes; each found one is a link."""
+    x = scattered_pairs(n, np.random.default_rng(3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(8)
+    rows = {r.vec_id: r for r in near_vectors(df).collect()}
+    found = np.array([rows[i].n_links for i in range(n)])
+    print("recall", found.sum() / want.sum(), want.sum())
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() > 500
+    linked = np.flatnonzero(found)
+    assert all(rows[i].component_id == i % (n // 2) for i in linked.tolist() if want[i] == 1)
+
+
+def test_pivots_are_apart_and_ordered():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = choose_pivots(x, 500)
+    close = pivots @ pivots.T
+    assert (close[np.triu_indices(len(pivots), 1)] < SPACING).all() and (x @ pivots.T).max(axis=1).min() >= SPACING - 1e-9
+    near = nearest_pivots(x, pivots, 5)
+    assert (near == np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :5]).all()
+    assert nearest_pivots(x[:2], np.repeat(pivots[:1], 4, axis=0), 3).tolist() == [[0, 1, 2]] * 2
 
 
 def test_dense_group(spark):

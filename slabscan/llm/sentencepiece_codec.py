@@ -7,6 +7,10 @@ an edge joins the encoding of what stands before it if the piece at its end
 and the edge's own piece stay apart when they are encoded together.  For BPE
 exactly one edge into each position does, and the pieces on the way to a
 word's end are its encoding.
+
+Long words are first cut wherever no piece holds the two neighbouring
+characters: no merge can cross there.  Edges are relaxed for all words at once,
+but in parts that stay long one position after the other.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
+#: Characters above which a part of a word is relaxed on its own, and positions whose suffixes are sorted at once.
+LONG_PART = 512
+POSITIONS = 1 << 20
 UNKNOWN = -1
 
 
@@ -51,7 +58,10 @@ class Codec:
         for row, p in zip(self.points, self.ids, strict=True):
             row[: len(p)] = [ord(c) for c in p]
         self._learn_merges(n)
+        #: Pairs of characters that stand together in some piece.
+        self.inner = np.unique(np.array([ord(x) << 21 | ord(y) for p in self.ids for x, y in zip(p, p[1:], strict=False)], np.int64))
         self.cache: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
 
     def _learn_merges(self, n: int) -> None:
         """When each piece is made (0 for a character), its two parts, and all pairs of pieces that make one."""
@@ -119,39 +129,80 @@ class Codec:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return out
 
+    @functools.cached_property
+    def _merge_tables(self):
+        return dict(zip(self.pairs.tolist(), self.pair_made.tolist(), strict=True)), self.made.tolist(), self.left.tolist(), self.right.tolist()
+
+    def _stays_apart(self, a: int, b: int) -> bool:
+        """``stay_apart`` for two pieces, remembered."""
+        code = a << 24 | b
+        known = self.apart.get(code)
+        if known is None:
+            if len(self.apart) > 4 * CACHE_WORDS:
+                self.apart.clear()
+            known = self.apart[code] = self._one_border(a, b)
+        return known
+
+    def _one_border(self, a: int, b: int) -> bool:
+        turns, made, left, right = self._merge_tables
+        limit = 1 << 62
+        while True:
+            turn = turns.get(a << 24 | b)
+            if turn is not None and turn < limit:
+                return False
+            if made[a] > made[b]:
+                limit, a = made[a], right[a]
+            elif made[b] > 0:
+                limit, b = made[b] + 1, left[b]
+            else:
+                return True
+
+    def parts(self, word: str) -> list[str]:
+        """A long word cut where no merge can cross."""
+        if len(word) <= LONGEST_CACHED:
+            return [word]
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.inner, code), len(self.inner) - 1)
+        cuts = [0, *(np.flatnonzero(self.inner[at] != code) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _match(self, words: list[str]):
         """(start, end, piece) of every occurrence of every piece, and the words' offsets."""
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(w) for w in words])
         offset = np.concatenate([[0], np.cumsum(size)])
         chars, rank = np.unique(text, return_inverse=True)
-        if len(chars) >= 0xFFFE:
-            raise ValueError("too many distinct characters in a batch")
         # Windows of ranks: 0 is past the word's end, the highest value above any character.
-        unit, top = (">u1", 0xFF) if len(chars) < 0xFE else (">u2", 0xFFFF)
+        unit = ">u1" if len(chars) < 0xFE else ">u2" if len(chars) < 0xFFFE else ">u4"
+        top = np.iinfo(np.dtype(unit)).max
         n, width = len(text), -(-self.longest // 8) * 8
-        room = np.zeros((n, width), unit)
         left = np.repeat(offset[1:], size) - np.arange(n)
         rank = np.concatenate([rank + 1, np.zeros(self.longest, rank.dtype)]).astype(unit)
-        for j in range(self.longest):
-            room[:, j] = np.where(left > j, rank[j : n + j], 0)
-        keys = room.view(f"S{room.strides[0]}").ravel()
-        halves = room.view(">u8").astype(np.uint64)
-        order = np.lexsort([halves[:, k] for k in reversed(range(halves.shape[1]))])
-        keys = keys[order]
         at = np.minimum(np.searchsorted(chars, self.points), len(chars) - 1)
         here = (chars[at] == self.points) | (self.points == 0)
         whole = here.all(axis=1)
         names = self.names[whole]
         low = np.zeros((len(names), width), unit)
         low[:, : self.longest] = np.where(self.points[whole] == 0, 0, at[whole] + 1)
-        high = np.where(np.arange(width) < self.length[names][:, None], low, np.array(top, unit))
-        lo = np.searchsorted(keys, low.view(keys.dtype).ravel(), side="left")
-        hi = np.searchsorted(keys, np.ascontiguousarray(high.astype(unit)).view(keys.dtype).ravel(), side="right")
-        number = hi - lo
-        within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        start = order[np.repeat(lo, number) + within]
-        piece = np.repeat(names, number)
+        high = np.where(np.arange(width) < self.length[names][:, None], low, np.array(top, unit)).astype(unit)
+        starts, pieces = [], []
+        for a in range(0, n, POSITIONS):
+            b = min(a + POSITIONS, n)
+            room = np.zeros((b - a, width), unit)
+            for j in range(self.longest):
+                room[:, j] = np.where(left[a:b] > j, rank[a + j : b + j], 0)
+            keys = room.view(f"S{room.strides[0]}").ravel()
+            halves = room.view(">u8").astype(np.uint64)
+            order = np.lexsort([halves[:, k] for k in reversed(range(halves.shape[1]))])
+            keys = keys[order]
+            lo = np.searchsorted(keys, low.view(keys.dtype).ravel(), side="left")
+            hi = np.searchsorted(keys, np.ascontiguousarray(high).view(keys.dtype).ravel(), side="right")
+            number = hi - lo
+            within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            starts.append(a + order[np.repeat(lo, number) + within])
+            pieces.append(np.repeat(names, number))
+        start, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, pieces))
         length = self.length[piece]
         known = np.zeros(n, bool)
         known[start[length == 1]] = True
@@ -164,14 +215,18 @@ class Codec:
             return []
         start, end, piece, offset, text = self._match(words)
         owner = np.searchsorted(offset, start, side="right") - 1
-        step = end - offset[owner]
-        by = np.argsort(step, kind="stable")
-        start, end, piece, owner, step = (x[by] for x in (start, end, piece, owner, step))
         # The piece that ends at each position of the encoding of the word so far; position 0 of a word is its start.
         last = np.full(len(text) + 1, -3, np.int64)
         came = np.zeros(len(text) + 1, np.int64)
+        far = np.diff(offset)[owner] > LONG_PART
+        if far.any():
+            self._relax_in_turn(start[far], end[far], piece[far], offset[owner[far]], last, came)
+            start, end, piece, owner = (x[~far] for x in (start, end, piece, owner))
+        step = end - offset[owner]
+        by = np.argsort(step, kind="stable")
+        start, end, piece, owner, step = (x[by] for x in (start, end, piece, owner, step))
         cut = np.flatnonzero(np.diff(step)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(step)], strict=True):
+        for a, b in zip([0, *cut.tolist()] if len(step) else [], [*cut.tolist(), len(step)] if len(step) else [], strict=True):
             s, p = start[a:b], piece[a:b]
             before = np.where(s == offset[owner[a:b]], -2, last[s])
             fit = before != -3
@@ -198,6 +253,17 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(number)])[np.searchsorted(at, offset, side="right")] * 4
         return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
+    def _relax_in_turn(self, start, end, piece, first, last, came) -> None:
+        """The same as relaxing all words at once, for few long ones."""
+        by = np.argsort(end, kind="stable")
+        usable, low = self.usable, int(first.min())
+        held = [-3] * (int(end.max()) - low + 1)
+        for s, e, p, f in zip(*(x[by].tolist() for x in (start, end, piece, first)), strict=True):
+            before = -2 if s == f else held[s - low]
+            if before != -3 and (p == UNKNOWN or (usable[p] and (before < 0 or self._stays_apart(before, p)))):
+                held[e - low] = p
+                last[e], came[e] = p, s
+
     def _spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.sp.unk_id()]
 
@@ -206,7 +272,7 @@ class Codec:
 
     def encode_normal(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts in normal form."""
-        split = [_WORD.findall(t) for t in texts]
+        split = [[part for word in _WORD.findall(t) for part in self.parts(word)] for t in texts]
         used = set().union(*split)
         new = list(used - self.cache.keys())
         if len(self.cache) + len(new) > CACHE_WORDS:
@@ -232,10 +298,11 @@ def codec_of(model_path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids, round_trip (whether decoding gives the text's normal form).
+    """One row per row of ``docs``: doc_id, ids, ids_crc32, round_trip (whether decoding gives the text's normal form).
 
     Null text is empty and has no ids; repeated rows and null ids get a row
-    each; other columns are ignored.
+    each; very long texts, with or without spaces, are encoded whole; an empty
+    table gives no rows; other columns, whatever their names, are ignored.
     """
     bound_batches(docs.sparkSession)
 

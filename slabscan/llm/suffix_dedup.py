@@ -4,12 +4,16 @@ Anchors are chosen by content: of each string of ``LENGTH`` bytes, the
 position whose next ``GRAM`` bytes hash lowest.  Equal strings have equal
 anchors, so only anchors whose gram occurs again matter, and two strings are
 compared around them.  The context of an anchor holds all strings of that
-length that contain its gram.  Equal contexts repeat as a whole.  Different
-contexts of one gram are sorted as suffixes to the right of the anchor and to
+length that contain its gram.  Equal contexts, which 160 bits of two
+independent hashes tell, repeat as a whole.  Different contexts of one gram are sorted as suffixes to the right of the anchor and to
 the left of it: a mergesort that compares two suffixes by the length of their
 common extension, found by binary search over prefix polynomial hashes.
 Neighbours' common extensions are then verified byte by byte, and with both
 orders it is known for each string of a context whether another context has it.
+
+A gram of more contexts than a few parts would need a copy of each context for
+every other part.  Its strings are compared by 128-bit hashes instead, so the
+work stays in proportion to the contexts.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ GRAM = 72
 SEGMENT = 1 << 20
 #: Contexts of one gram that are sorted together; larger groups are sorted for each pair of such parts.
 PART = 4096
+#: Parts of one gram's contexts beyond which their strings are hashed.
+MOST_PARTS = 8
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -43,10 +50,10 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(segment, position in it, gram hash, context hash, bytes left, bytes right) of every anchor, with segments end to end."""
+    """(segment, position in it, gram hash, two parts of the context's hash, bytes left, bytes right) of every anchor, with segments end to end."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty, empty
     prefix = POWERS.prefix(data)
     at = np.arange(len(data) - gram + 1)
     grams = mix64(POWERS.window(prefix, at, at + gram))
@@ -62,8 +69,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     segment = owner[pos]
     left = np.minimum(pos - offsets[:-1][segment], length - gram)
     right = np.minimum(offsets[1:][segment] - pos, length)
-    context = mix64(POWERS.window(prefix, pos - left, pos + right) + (left * 1000 + right).astype(np.uint64))
-    return segment, pos - offsets[:-1][segment], grams[pos].view(np.int64), context.view(np.int64), left, right
+    raw = data.tobytes()
+    digests = [xxhash.xxh3_128_digest(raw[a:b], seed=n) for a, b, n in zip((pos - left).tolist(), (pos + right).tolist(), left.tolist(), strict=True)]
+    context = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return segment, pos - offsets[:-1][segment], grams[pos].view(np.int64), context[:, 0], (context[:, 1] & 0x7FFFFFFF).astype(np.int32), left, right
 
 
 def _compare(prefix, data, px, nx, py, ny):
@@ -164,18 +173,18 @@ def _runs(row: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _release(spark) -> None:
-    """Lets Spark delete shuffle files that no DataFrame needs any more."""
+    """Lets Spark delete shuffle files that no DataFrame needs any more; results don't depend on it."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, part: int = PART, most_parts: int = MOST_PARTS) -> DataFrame:
     """(_k, _t, start, end): byte ranges that cover all strings of ``length`` bytes that also start anywhere else."""
     spark = docs.sparkSession
     bound_batches(spark)
     keys = row_key(id_col, text_col)
     rows = docs.where(F.octet_length(text_col) >= length).select(*keys, F.encode(text_col, "UTF-8").alias("_text"))
-    schema = "_k long, _t long, pos long, h long, c long, l short, r short"
+    schema = "_k long, _t long, pos long, h long, c long, d int, l short, r short"
 
     def find(batches):
         for batch in batches:
@@ -186,8 +195,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for a in range(0, max(1, len(data) if len(piece) == 1 else 1), SEGMENT):
                     own, bounds = (data[a : a + SEGMENT + length - 1], None) if len(piece) == 1 else (data, offsets)
                     bounds = np.array([0, len(own)]) if bounds is None else bounds
-                    s, pos, h, c, left, right = anchors(own, bounds, length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s]), pa.array(t[s]), pa.array(pos + a), pa.array(h), pa.array(c), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["_k", "_t", "pos", "h", "c", "l", "r"])
+                    s, pos, h, c, d, left, right = anchors(own, bounds, length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[s]), pa.array(t[s]), pa.array(pos + a), pa.array(h), pa.array(c, pa.int64()), pa.array(d, pa.int32()), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["_k", "_t", "pos", "h", "c", "d", "l", "r"])
 
     first = shared_dir(spark)
     found = stored(rows.mapInArrow(find, schema), first)
@@ -197,10 +206,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_path(spark, first)
     del found, again
     _release(spark)
-    classes = at.groupBy("h", "c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_k", "_t", "pos", "l", "r")).alias("_rep"))
+    classes = at.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_k", "_t", "pos", "l", "r")).alias("_rep"))
     classes = stored(classes)
     _release(spark)
-    wholes = at.join(classes.where("_n > 1").select("h", "c").hint("merge"), ["h", "c"])
+    wholes = at.join(classes.where("_n > 1").select("h", "c", "d").hint("merge"), ["h", "c", "d"])
     spans = stored(wholes.select("_k", "_t", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")))
     # Only grams with several contexts, of which one occurs once, have to be sorted.
     mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("_m"), F.min("_n").alias("_least")).where("_m > 1 and _least = 1").select("h", F.ceil(F.col("_m") / part).cast("int").alias("_parts"))
@@ -208,8 +217,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_path(spark, at._stored_at)
     _release(spark)
     wanted = classes.join(mixed.hint("merge"), "h").select("h", "_n", "_parts", "_rep.*")
-    per_text = wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("h", "_n", "_parts", "pos", "l", "r")).alias("_at"))
-    one_each = rows.join(per_text.hint("merge"), ["_k", "_t"]).select("_k", "_t", "_at", "_text")
     context_schema = "h long, _n long, _parts int, _k long, _t long, pos long, l short, context binary"
 
     def cut(batches):
@@ -222,7 +229,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out = [(s["h"], s["_n"], s["_parts"], k, t, s["pos"], s["l"], text[s["pos"] - s["l"] : s["pos"] + s["r"]]) for s in spots]
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-    contexts = one_each.mapInArrow(cut, context_schema)
+    def contexts_of(wanted: DataFrame) -> DataFrame:
+        per_text = wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("h", "_n", "_parts", "pos", "l", "r")).alias("_at"))
+        one_each = rows.join(per_text.hint("merge"), ["_k", "_t"]).select("_k", "_t", "_at", "_text")
+        return one_each.mapInArrow(cut, context_schema)
+
+    contexts = contexts_of(wanted.where(F.col("_parts") <= most_parts))
     # A context of a large group goes to every pair of parts that has its own part.
     own = F.pmod(F.xxhash64("_k", "_t", "pos"), F.col("_parts")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("a"), F.greatest(p, F.col("_own")).alias("b"))))
@@ -257,12 +269,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = stored(ordered.mapInArrow(sort, "_k long, _t long, start long, end long"))
     _release(spark)
-    return spans.unionByName(parts)
+    if mixed.where(F.col("_parts") > most_parts).isEmpty():
+        return spans.unionByName(parts)
+    hashed = stored(_strings_by_hash(contexts_of(wanted.where(F.col("_parts") > most_parts)), length))
+    _release(spark)
+    return spans.unionByName(parts).unionByName(hashed)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str], length: int, gram: int, part: int) -> DataFrame:
+def _strings_by_hash(contexts: DataFrame, length: int) -> DataFrame:
+    """(_k, _t, start, end) of the strings of the contexts that occur at several places, for grams of very many contexts."""
+    names = ["w", "v", "_n", "_k", "_t", "start"]
+
+    def run(batches):
+        for batch in batches:
+            for piece in split_batch(batch, "context", SEGMENT >> 2):
+                digests, at, owner = [], [], []
+                for i, (context, pos, left) in enumerate(zip(piece.column(7).to_pylist(), piece.column(5).to_pylist(), piece.column(6).to_pylist(), strict=True)):
+                    last = min(left, len(context) - length)
+                    digests += [xxhash.xxh3_128_digest(context[a : a + length]) for a in range(last + 1)]
+                    at += range(pos - left, pos - left + last + 1)
+                    owner += [i] * (last + 1)
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                kept = [np.asarray(piece.column(c))[owner] if owner else np.zeros(0, np.int64) for c in (1, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (both[:, 0], both[:, 1], *kept, np.array(at, np.int64))], names=names)
+
+    strings = stored(contexts.mapInArrow(run, ", ".join(f"{n} long" for n in names)))
+    # A string that two anchors of one text share is at one place.
+    place = F.struct("_k", "_t", "start")
+    again = strings.groupBy("w", "v").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a != _b").select("w", "v")
+    again = stored(again)
+    # Contexts that repeat as a whole are covered, but others were compared with them.
+    found = strings.where("_n = 1").join(again.hint("merge"), ["w", "v"])
+    return found.select("_k", "_t", "start", (F.col("start") + length).alias("end"))
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str], length: int, gram: int, part: int, most_parts: int) -> DataFrame:
     with scratch(docs.sparkSession) as keep_table:
-        spans = repeated_spans(docs, id_col, text_col, length, gram, part)
+        spans = repeated_spans(docs, id_col, text_col, length, gram, part, most_parts)
         # A text has at most one anchor's span for each of its bytes.
         per_text = stored(spans.groupBy("_k", "_t").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")))
         keep_table(per_text)
@@ -289,12 +332,14 @@ def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, part: int = PART, most_parts: int = MOST_PARTS) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, spans, kept_sha256.
 
     ``spans`` are the maximal removed byte ranges (start, end).  Null text is
     empty; a text shorter than ``length`` loses nothing; equal rows repeat
-    each other, also with equal or null ids; other columns are ignored.
+    each other, also with equal or null ids.  Very long texts are searched
+    whole, in overlapping segments.  An empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -309,11 +354,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), kind, pa.string()))], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     named = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return _with_spans(named, "_id", "_text", ["_id"], length, gram, part).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _with_spans(named, "_id", "_text", ["_id"], length, gram, part, most_parts).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """The documents without their repeated strings, and with their number of characters; a character cut apart goes."""
+    """The documents without their repeated strings, and with their number of characters; a character cut apart goes.
+
+    Null texts stay null, a text that repeats as a whole becomes empty, and
+    repeated rows each lose what they share.
+    """
     columns = docs.columns
 
     def run(batches):
@@ -321,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = [_rest(text.as_py(), merged(spans)).decode("utf-8", "ignore") for spans, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
-    rows = _with_spans(docs, id_col, text_col, columns, LENGTH, GRAM, PART)
+    rows = _with_spans(docs, id_col, text_col, columns, LENGTH, GRAM, PART, MOST_PARTS)
     doc = rows.schema["_doc"].dataType
     from pyspark.sql import types as T
 

@@ -54,11 +54,11 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("part", [4096, 7])
-def test_same_as_brute_force(spark, part):
+@pytest.mark.parametrize(("part", "most_parts"), [(4096, 8), (7, 1000), (7, 8), (7, 0)])
+def test_same_as_brute_force(spark, part, most_parts):
     rows = cases()
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, pos int, _k string").repartition(4)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup(docs, part=part).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup(docs, part=part, most_parts=most_parts).collect()), key=repr)
     assert got == brute(rows)
 
 
@@ -80,3 +80,15 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in queries.op7_suffix_dedup(spark, sf).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_many_contexts_of_one_line(spark):
+    """A line that 50,000 different texts share around it, some with more than the line in common."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line, left, right = word(110), word(60), word(60)
+    rows = [(i, word(130) + (left if i % 1000 == 0 else word(60)) + line + (right if i % 1000 < 2 else word(60)) + word(130)) for i in range(50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup(docs).collect()), key=repr)
+    assert got == brute(rows)
+    assert sum(g[2] > 0 for g in got) >= 50

@@ -84,17 +84,38 @@ def match_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").select(*pages.columns, "_best.rule", "_best.rule_verdict")
 
 
+#: The target of a canonical link and of a meta refresh, whatever the order of the tag's attributes.
+CANONICAL_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+META_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute url, seen from the page ``url``; null for other schemes and fragments."""
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    head, tail = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(head.startswith("/"), head).otherwise(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), head))
+    # Segments in order, without those that .. takes back.
+    segments = F.split(F.regexp_replace(joined, r"/\.{1,2}$", "$0/"), "/")
+    step = lambda held, s: F.when(s == ".", held).when(s == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(s)))
+    clean = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    near = F.concat(origin, F.when(head == "", path).otherwise(clean), tail)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(origin != "", near)
+    )
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from, to) canonical forms for each canonical link and meta refresh to an absolute or root-relative url."""
+    """(a, b) urls of the page and the target of each of its canonical links and meta refreshes."""
     html = F.col(html_col)
     likely = pages.where(html.rlike("(?i)canonical|http-equiv"))
-    link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1)
-    origin = F.regexp_extract(F.col(url_col), r"(?s)^(.*?://[^/?#]*)", 1)
-    targets = likely.select(F.col(url_col).alias("_url"), origin.alias("_origin"), F.explode(F.array(link, refresh)).alias("_to")).where("_to != ''")
-    absolute = F.when(F.col("_to").startswith("//"), F.concat(F.lit("http:"), F.col("_to"))).when(F.col("_to").startswith("/"), F.concat("_origin", "_to")).otherwise(F.col("_to"))
-    edges = targets.select(canonical_form(F.col("_url")).alias("a"), canonical_form(absolute).alias("b"))
-    return edges.where("a is not null and b is not null")
+    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL_LINK), 1), F.regexp_extract_all(html, F.lit(META_REFRESH), 1))
+    targets = likely.select(F.col(url_col).alias("_url"), F.explode(found).alias("_to"))
+    to = F.regexp_replace("_to", "(?i)&(?:amp|#38|#x26);", "&")
+    return targets.select(F.col("_url").alias("a"), resolved(to, F.col("_url")).alias("b")).where("a is not null and b is not null")
 
 
 def node_of(form: Column) -> Column:
@@ -104,20 +125,27 @@ def node_of(form: Column) -> Column:
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, by_alias.
 
-    ``edges`` may add further (a, b) urls of known redirects.  A null url, or
+    ``edges`` may add further (a, b) urls of known redirects.  The rules of all
+    ends of edges count, whether or not they are pages.  A null url, or
     one without ``://``, has an empty host and path, no alias, and is allowed
-    unless a rule fits.  Repeated rows and ids give a row each; null html has
-    no links; other columns are ignored.
+    unless a rule fits.  Of fitting rules of equal length the one that is later
+    in byte order decides.  Repeated rows and ids give a row each; null html
+    has no links; very long html is searched whole; an empty table gives no
+    rows; other columns, whatever their names, are ignored.
     """
     url = F.col(url_col)
     links = html_edges(pages, url_col, html_col)
     if edges is not None:
-        links = links.unionByName(edges.select(canonical_form(F.col("a")).alias("a"), canonical_form(F.col("b")).alias("b")).where("a is not null and b is not null"))
-    links = links.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
-    groups = connected_components(links)
+        links = links.unionByName(edges.select("a", "b"))
+    links = stored(links.where(canonical_form(F.col("a")).isNotNull() & canonical_form(F.col("b")).isNotNull()).distinct())
+    groups = connected_components(links.select(node_of(canonical_form(F.col("a"))).alias("a"), node_of(canonical_form(F.col("b"))).alias("b")))
     base = pages.select(F.col(id_col).alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"), node_of(canonical_form(url)).alias("_node"))
     judged = stored(match_rules(base, rules))
-    decided = judged.where("rule_verdict is not null and _node is not null").groupBy("_node", "rule_verdict").agg(F.lit(1).alias("_one"))
+    # The ends of links count by their rules too, whether or not they are pages.
+    ends = links.select(F.explode(F.array("a", "b")).alias("_end")).distinct()
+    ends = ends.select(host_of(F.col("_end")).alias("host"), path_of(F.col("_end")).alias("path"), node_of(canonical_form(F.col("_end"))).alias("_node"))
+    known = judged.select("_node", "rule_verdict").unionByName(match_rules(ends, rules).select("_node", "rule_verdict"))
+    decided = known.where("rule_verdict is not null and _node is not null").groupBy("_node", "rule_verdict").agg(F.lit(1).alias("_one"))
     component = F.coalesce("component", "_node")
     votes = decided.join(groups, F.col("_node") == F.col("node"), "left").groupBy(component.alias("_group")).agg(F.max(F.col("rule_verdict") == "allow").alias("_allowed"))
     blocked = votes.where("not _allowed").select("_group")

@@ -160,15 +160,17 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have the end id alone.  Rows that share a doc_id, or
-    have none, are packed as documents of their own.  Other columns are
-    ignored, and an empty table gives no rows.
+    have none, are packed as documents of their own; pieces of equal length
+    stand in the order of their rows.  Very long texts are tokenised whole.
+    Other columns, whatever their names, are ignored, and an empty table gives
+    no rows.
     """
     pieces = stored(token_pieces(docs, tokenizer_path, ranks_path, id_col, text_col, capacity, piece_tokens).withColumn("_row", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block_pieces))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], ignore_index=True)
         place = pack_block(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = 2 * ((int(key[0]) << 31) + place)

@@ -296,16 +296,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> ToxicModel:
-    """A model from the labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
+    """A model from the labelled documents that are not held out, at most ``max_rows``.
 
-    Without any toxic or any clean one among them, every score is the share of
-    toxic labels, smoothed by one of each kind.
+    ``labels`` has doc_id and toxic; rows where either is null are left out,
+    and of an id's labels the largest holds.  Without any toxic or any clean
+    document, or with an empty table, every score is the share of toxic
+    labels, smoothed by one of each kind.
     """
     bound_batches(docs.sparkSession)
     # The labels are bounded by max_rows, 16 bytes each, so they may be broadcast.
     known = training_labels(labels, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
     counts = stored(_token_counts(rows))
     toxic_share = known.agg(F.avg("_toxic")).first()[0] or 0.0
     weights, clean, n_clean = _weights(counts, toxic_share)
@@ -331,8 +333,9 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
     A passage is (start, end, score, expected): character offsets in the text,
     the segment's score, and how often clean text as long has one as good.
-    Null text is empty; repeated rows and null ids get a row each; other
-    columns are ignored.
+    Null text is empty; repeated rows and null ids get a row each; very long
+    texts are scanned whole; an empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
 
     def run(batches):
@@ -357,14 +360,14 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
-def reject_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
+def reject_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
     """The rows whose text is not predicted toxic, with all their columns, in one pass without a shuffle."""
     schema = docs.schema
-    at = docs.columns.index("text")
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for part in split_batch(batch, "text", 1 << 20):
+            for part in split_batch(batch, text_col, 1 << 20):
                 keep = []
                 for text in part.column(at).to_pylist():
                     words = WORD.findall((text or "").lower())

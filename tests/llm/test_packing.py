@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -5,7 +7,7 @@ import numpy as np
 import pytest
 
 from slabscan.llm import queries
-from slabscan.llm.packing import CAPACITY, TokenIds, cuts, differencing, pack, pack_block
+from slabscan.llm.packing import CAPACITY, ODD, TokenIds, cuts, differencing, pack, pack_block
 
 TEXTS = ["", None, "a b", " lead", "trail ", "two  spaces", "x \n y", "a b  c", "it's <|endoftext|> here", "tab\t x", "naïve 日本 語 🙂 x", "word " * 9000, "z" * 50_000]
 
@@ -84,3 +86,14 @@ def test_query(spark):
 
 def test_cuts():
     assert cuts(5000, 2048, 512) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 392)]
+
+
+def test_plain_texts_have_the_same_ids_by_both_encoders():
+    """Random strings over the alphabet that the rank encoder may take."""
+    both = [TokenIds(queries.tokenizer_file("byte_bpe_50k.json"), ranks) for ranks in (None, queries.tokenizer_file("byte_bpe_50k.tiktoken"))]
+    rng = random.Random(12)
+    plain = [c for c in map(chr, range(0x20AD)) if not re.match(ODD, c)]
+    common = "aeinrst'  \n\t.,0123456789é“”"
+    texts = ["".join(rng.choice(plain) if rng.random() < 0.3 else rng.choice(common) for _ in range(rng.randrange(1, 60))) for _ in range(40_000)]
+    assert len(plain) > 500 and not any(both[1].odd.search(t) for t in texts)
+    assert both[0](texts) == both[1](texts)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from slabscan.llm import queries
@@ -92,3 +94,40 @@ def test_features_use_all_segments(spark):
     x, y = _features(_segments(rows, model), model)
     assert y.tolist() == [1.0] and len(scan(words, model.weights)) == 200
     assert x[0].tolist() == list(model.features(len(words), scan(words, model.weights)))
+
+
+def test_scores_by_brute_force(spark):
+    """Scores, predictions and passages of short documents from all segments by their definition."""
+    rng = random.Random(8)
+    plain = [f"w{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(1500):
+        words = rng.choices(plain, k=rng.randrange(0, 30))
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["vile", "nasty", "awful"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.weights) >= 3
+    got = {r.doc_id: r for r in score(table, model).collect()}
+    for i, text in docs:
+        words = re.findall(r"\w+", text.lower())
+        found = brute_segments([model.weights.get(w, 0.0) - DRIFT for w in words])
+        expected = lambda s: model.k * max(len(words), 1) * math.exp(-model.rate * s)
+        good = [s for s in found if expected(s[2]) <= 0.05]
+        best = max((s[2] for s in found), default=0.0)
+        x = [1, min(model.rate * best, 50) - math.log(model.k * max(len(words), 1)), math.log1p(model.rate * sum(s[2] for s in good)), math.log1p(len(good))]
+        p = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(model.coefficients, x, strict=True))))))
+        assert abs(got[i].score - p) < 1e-9 and got[i].predicted == (p >= 0.5)
+        assert [text[s.start : s.end].lower() for s in got[i].passages] == [" ".join(words[a:b]) for a, b, _ in good]
+
+
+def test_query_gives_every_document(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = queries.op6_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == ids
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)

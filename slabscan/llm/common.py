@@ -114,17 +114,16 @@ def places(df: DataFrame) -> list[Column]:
     return [hidden["file_path"].alias("_file"), hidden["row_index"].alias("_at")]
 
 
-def without_rows(df: DataFrame, dropped: DataFrame, max_bytes: int = FLAG_BYTES) -> DataFrame:
-    """The rows of a table in files but for those at the places (_file, _at) of ``dropped``; no row of ``df`` shuffles.
+def _at_places(df: DataFrame, marked: DataFrame, hit: bool, columns: list[Column], max_bytes: int) -> DataFrame:
+    """``columns``, ``_file`` and ``_at`` of the rows whose places are among ``marked``, or aren't; no row of ``df`` shuffles.
 
     The places become bitmaps of 32768 rows, one bit a row, which are broadcast
     while they take at most ``max_bytes``.  Larger sets are split by file into
     as many passes as needed, and each pass reads only its own files.
     """
-    columns = df.columns
     chunk = F.expr(f"_at div {CHUNK_ROWS}").alias("_chunk")
     bit = F.bitmap_bit_position(F.col("_at") % CHUNK_ROWS + 1)
-    flags = stored(dropped.select("_file", chunk, "_at").groupBy("_file", "_chunk").agg(F.bitmap_construct_agg(bit).alias("_bits")))
+    flags = stored(marked.select("_file", chunk, "_at").groupBy("_file", "_chunk").agg(F.bitmap_construct_agg(bit).alias("_bits")))
     passes = max(1, -(-flags.count() * (CHUNK_ROWS // 8) // max(max_bytes, CHUNK_ROWS // 8)))
     hidden = df.metadataColumn("_metadata")
     file, at = hidden["file_path"], hidden["row_index"]
@@ -133,9 +132,10 @@ def without_rows(df: DataFrame, dropped: DataFrame, max_bytes: int = FLAG_BYTES)
         rows, own = df, flags
         if passes > 1:
             rows, own = rows.where(F.pmod(F.xxhash64(file), F.lit(passes)) == turn), own.where(F.pmod(F.xxhash64("_file"), F.lit(passes)) == turn)
-        placed = rows.select(F.struct(*(rows[c] for c in columns)).alias("_row"), file.alias("_file"), F.floor(at / CHUNK_ROWS).alias("_chunk"), (at % CHUNK_ROWS).alias("_bit"))
-        joined = placed.join(F.broadcast(own), ["_file", "_chunk"], "left")
-        return joined.where(F.col("_bits").isNull() | ~bit_is_set("_bits", "_bit")).select("_row.*")
+        placed = rows.select(F.struct(*columns).alias("_row"), file.alias("_file"), at.alias("_at"), F.floor(at / CHUNK_ROWS).alias("_chunk"), (at % CHUNK_ROWS).alias("_bit"))
+        joined = placed.join(F.broadcast(own), ["_file", "_chunk"], "inner" if hit else "left")
+        is_marked = bit_is_set("_bits", "_bit")
+        return joined.where(is_marked if hit else F.col("_bits").isNull() | ~is_marked).select("_row", "_file", "_at")
 
     out = one(0)
     for turn in range(1, passes):
@@ -143,6 +143,16 @@ def without_rows(df: DataFrame, dropped: DataFrame, max_bytes: int = FLAG_BYTES)
     return out
 
 
+def without_rows(df: DataFrame, dropped: DataFrame, max_bytes: int = FLAG_BYTES) -> DataFrame:
+    """The rows of a table in files but for those at the places (_file, _at) of ``dropped``, without a shuffle."""
+    return _at_places(df, dropped, False, [df[c] for c in df.columns], max_bytes).select("_row.*")
+
+
+def rows_at(df: DataFrame, wanted: DataFrame, columns: list[Column], max_bytes: int = FLAG_BYTES) -> DataFrame:
+    """``columns``, _file and _at of the rows of a table in files that are at the places of ``wanted``, without a shuffle."""
+    return _at_places(df, wanted, True, columns, max_bytes).select("_row.*", "_file", "_at")
+
+
 def bit_is_set(bitmap: str, bit: str) -> Column:
     """Whether a bitmap's bit, counted from 0, is set."""
     byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast({bit} div 8 as int) + 1, 1)")), 16, 10).cast("int")

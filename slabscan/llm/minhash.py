@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slabscan.llm.common import POWERS, bound_batches, mix64, scratch, split_batch, stored, text_bytes
+from slabscan.llm.common import POWERS, bound_batches, in_files, mix64, places, rows_at, scratch, split_batch, stored, text_bytes, without_rows
 from slabscan.llm.components import connected_components
 
 WORDS = 5
@@ -207,29 +207,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id exactly one is kept.  Very long texts are compared whole.  An
     empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    told = _judged(docs, id_col, text_col, words, similarity, bands, band_rows)
+    told = _judged(in_files(docs), id_col, text_col, words, similarity, bands, band_rows)
     return told.select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), "group_id", "group_size", "kept")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bands: int, band_rows: int, row_col: str | None = None) -> DataFrame:
-    """_id, _row, _class, group_id, group_size, kept of each row; ``row_col`` numbers the rows, or they are numbered here."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bands: int, band_rows: int) -> DataFrame:
+    """_id, _file, _at, _class, group_id, group_size, kept of each row of a table in files."""
     bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-        body = F.col(text_col)
-        rows = docs.select(F.col(id_col).alias("_id"), number.alias("_row"), F.xxhash64(body).alias("_t"), body.alias("_body"))
-        flat = _apart(stored(sketches(rows, "_body", ("_id", "_row", "_t"), words, bands, band_rows)))
+        rows = docs.select(docs[id_col].alias("_id"), F.monotonically_increasing_id().alias("_row"), *places(docs), docs[text_col].alias("_body"))
+        flat = _apart(stored(sketches(rows, "_body", ("_id", "_row", "_file", "_at"), words, bands, band_rows)))
         full = flat.where("_words > 0")
         classes = full.groupBy("_class").agg(F.min("_row").alias("_row"))
         # One sketch for each class, at its first row; a join on the row number has no hot key.
-        heads = stored(full.join(classes.select("_row"), "_row", "left_semi").select("_class", "_bands", "_id", "_t"))
+        heads = stored(full.join(classes.select("_row"), "_row", "left_semi").select("_class", "_bands", "_file", "_at"))
         members = heads.select("_class", F.explode("_bands").alias("_bucket"))
         buckets = stored(members.groupBy("_bucket").agg(F.min("_class").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
         shared = stored(members.join(buckets.select("_bucket", "a").hint("merge"), "_bucket").select("_bucket", "a", F.col("_class").alias("b")))
         near = shared.select("a", "b").where("a != b").distinct()
         # Texts of the classes that share a bucket: any row of a class serves.
-        involved = stored(heads.join(shared.select(F.col("b").alias("_class")).distinct(), "_class", "left_semi").select("_class", "_id", "_t"))
-        texts = _class_texts(docs, id_col, text_col, involved)
+        involved = stored(heads.join(shared.select(F.col("b").alias("_class")).distinct(), "_class", "left_semi").select("_class", "_file", "_at"))
+        texts = _class_texts(docs, text_col, involved)
         links = stored(_jaccard_verify(near, texts, words, similarity))
         groups = stored(connected_components(links))
         done = near
@@ -258,12 +256,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
             groups = stored(connected_components(links))
         joined = flat.join(groups.hint("merge"), F.col("_class") == F.col("node"), "left")
         group = F.when(F.col("_words") > 0, F.coalesce("component", "_class"))
-        told = stored(joined.select("_id", "_row", "_class", group.alias("_group")))
+        told = stored(joined.select("_id", "_row", "_file", "_at", "_class", group.alias("_group")))
         first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
         tops = stored(told.where("_group is not null").groupBy("_group").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n")))
         keep(told, tops)
-    some = told.where("_group is not null").join(tops.hint("merge"), "_group").select("_id", "_row", "_class", F.col("_first.id").alias("group_id"), F.col("_n").alias("group_size"), (F.col("_row") == F.col("_first.row")).alias("kept"))
-    none = told.where("_group is null").select("_id", "_row", "_class", F.col("_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
+    some = told.where("_group is not null").join(tops.hint("merge"), "_group").select("_id", "_file", "_at", "_class", F.col("_first.id").alias("group_id"), F.col("_n").alias("group_size"), (F.col("_row") == F.col("_first.row")).alias("kept"))
+    none = told.where("_group is null").select("_id", "_file", "_at", "_class", F.col("_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
     return some.unionByName(none)
 
 
@@ -325,25 +323,19 @@ def _apart(flat: DataFrame) -> DataFrame:
     return stored(told.select(*(other if c == "_class" else F.col(c) for c in flat.columns)))
 
 
-def _class_texts(docs: DataFrame, id_col: str, text_col: str, involved: DataFrame) -> DataFrame:
-    """(_class, _text) of the first document of each class in ``involved``, written once.
-
-    The document is found by its id and a hash of its text, so the many copies
-    in a class stay where they are; only rows that repeat both meet.
-    """
-    body = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("_t"), body.alias("_text"))
-    same = rows["_id"].eqNullSafe(involved["_id"]) & (rows["_t"] == involved["_t"])
-    found = rows.join(involved, same).select("_class", "_text")
-    return stored(found.groupBy("_class").agg(F.min("_text").alias("_text")))
+def _class_texts(docs: DataFrame, text_col: str, involved: DataFrame) -> DataFrame:
+    """(_class, _text) of the document at the place of each class in ``involved``, written once; no other text moves."""
+    found = rows_at(docs, involved, [docs[text_col].alias("_text")])
+    return stored(found.join(involved.hint("merge"), ["_file", "_at"]).select("_class", "_text"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: exactly one of each group, and all without words.
 
-    The rows are written with a number first, so that repeated ids and rows
-    are told apart.
+    Rows are told by their places in the files, so that repeated ids and rows
+    are told apart and no document shuffles; a table that isn't read from
+    files is written first.
     """
-    numbered = stored(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")))
-    judged = _judged(numbered, f"_doc.{id_col}", f"_doc.{text_col}", WORDS, SIMILARITY, BANDS, BAND_ROWS, "_row")
-    return numbered.join(judged.where("not kept").select("_row"), "_row", "left_anti").select("_doc.*")
+    docs = in_files(docs)
+    judged = _judged(docs, id_col, text_col, WORDS, SIMILARITY, BANDS, BAND_ROWS)
+    return without_rows(docs, judged.where("not kept").select("_file", "_at"))

@@ -1,12 +1,64 @@
-"""Connected components of a distributed edge table, by alternating large and small stars."""
+"""Connected components of a distributed edge table.
+
+Edges are contracted first: each task takes about ``EDGES`` of them and leaves
+one edge from every node to the smallest node of its component there.  What
+the tasks leave is joined by alternating large and small stars; a table that
+fits one task is done.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slabscan.llm.common import scratch, stored
 
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index of each one's component under the pairs (i, j)."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        last = root.copy()
+        # The roots of both ends are joined, not only the ends.
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        root = np.minimum(root, root[root])
+        if (root == last).all():
+            break
+    return root
+
+
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """(u, v): each node but the smallest of its component among a task's edges, and that smallest one."""
+
+    def run(batches):
+        held, number = [], 0
+        for batch in batches:
+            held.append(batch)
+            number += len(batch)
+            if number >= 2 * EDGES:
+                held = [solve(held)]
+                number = len(held[0])
+        if held:
+            yield solve(held)
+
+    def solve(held):
+        u, v = (pa.chunked_array([b.column(i) for b in held]) for i in (0, 1))
+        nodes = pc.unique(pa.chunked_array([*u.chunks, *v.chunks]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        root = roots(len(nodes), *(np.asarray(pc.index_in(x, value_set=nodes).combine_chunks()) for x in (u, v)))
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(other)), nodes.take(pa.array(root[other]))], names=["u", "v"])
+
+    return edges.coalesce(parts).mapInArrow(run, edges.schema)
+
 
 def _star(pairs: DataFrame) -> DataFrame:
     """Each row (x, y) with ``low``: the smallest of x and all its y.
@@ -18,7 +70,7 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(low.hint("merge"), "x").select("x", "y", F.least("x", "low").alias("low"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, edges_per_task: int = EDGES) -> DataFrame:
     """(node, component) of every node that has an edge to another one; the component is its smallest node.
 
     Null ends, loops and repeated edges are left out.  Each round writes its
@@ -26,8 +78,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     grows with the logarithm of the longest path.
     """
     with scratch(edges.sparkSession) as keep:
-        now = stored(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-        mark = _mark(now)
+        given = stored(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+        parts = max(1, -(-given.count() // edges_per_task))
+        now = stored(_contracted(given, parts))
+        mark = _mark(now) if parts > 1 else (0,)
         for _ in range(max_rounds):
             if mark[0] == 0:
                 break

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slabscan.llm.common import bound_batches, stored
-from slabscan.llm.components import connected_components
+from slabscan.llm.components import connected_components, roots
 
 COSINE = 0.93
 #: Distinct vectors for each pivot, bounds of the number of pivots, and numbers that all pivots hold together.
@@ -55,20 +55,6 @@ def unit_rows(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index of each one's component under the pairs (i, j)."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        last = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = np.minimum(root, root[root])
-        if (root == last).all():
-            break
-    return root
-
-
 def choose_pivots(sample: np.ndarray, most: int, spacing: float = SPACING) -> np.ndarray:
     """Rows of the sample in their order, but for those closer than ``spacing`` to an earlier choice."""
     chosen = np.zeros((0, sample.shape[1]))
@@ -138,7 +124,7 @@ class Unit:
             i, j = np.nonzero(near)
             i, j = self.root[a[i]], self.root[b[j]]
             apart = i != j
-            self.root = _roots(len(self.root), i[apart], j[apart])[self.root]
+            self.root = roots(len(self.root), i[apart], j[apart])[self.root]
 
 
 def fit_pivots(classes: DataFrame, number: int, per_pivot: int = PER_PIVOT) -> dict[int, np.ndarray]:

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from slabscan.llm import queries, url_filter
 from slabscan.llm.components import connected_components
 from slabscan.llm.url_filter import RULES, Rule, filter_urls
@@ -14,15 +16,40 @@ def own_rule(url, rules=RULES):
     return host, path, max(fits, key=lambda r: len(r.text)) if fits else None
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_per_task", [1 << 20, 60])
+def test_components(spark, edges_per_task):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (6000, 6001), (6001, 6000)]
     df = spark.createDataFrame([*edges, (None, 1)], "a long, b long").repartition(4)
-    got = {r.node: r.component for r in connected_components(df).collect()}
+    got = {r.node: r.component for r in connected_components(df, edges_per_task=edges_per_task).collect()}
     want = {i: 1 for i in range(1, 201)} | {1000 + i: 1000 for i in range(300)} | {6000: 6000, 6001: 6000}
     assert got == want
     assert connected_components(df.limit(0)).collect() == []
 
 
+def test_components_of_random_edges(spark):
+    """Bytes and numbers as nodes, in one task and in several, against union-find."""
+    import random
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1300)]
+    root = list(range(3000))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    want = {i: find(i) for i in {x for a, b in edges if a != b for x in (a, b)}}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for n in (1 << 20, 100):
+        assert {r.node: r.component for r in connected_components(df, edges_per_task=n).collect()} == want
+    text = df.selectExpr("encode(lpad(a, 4, '0'), 'utf-8') as a", "encode(lpad(b, 4, '0'), 'utf-8') as b")
+    assert {int(r.node): int(r.component) for r in connected_components(text).collect()} == want
+
+
 def test_rules_and_aliases(spark):
     link = '<LINK href="https://shop.com/de/7" rel=canonical>'
     refresh = '<meta http-equiv="refresh" content="0; url=/moved">'

@@ -16,6 +16,7 @@ but in parts that stay long one position after the other.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -52,10 +53,12 @@ class Codec:
         #: What each id decodes to.
         self.raw = [bytes([byte_of[i]]) if i in byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
-        self.names = np.array(list(self.ids.values()), np.int64)
+        # In the order of their characters, so that they are searched for in ascending order.
+        by_text = sorted(self.ids)
+        self.names = np.array([self.ids[p] for p in by_text], np.int64)
         self.length = np.array([len(p) for p in self.pieces], np.int64)
         self.points = np.zeros((len(self.names), self.longest), np.uint32)
-        for row, p in zip(self.points, self.ids, strict=True):
+        for row, p in zip(self.points, by_text, strict=True):
             row[: len(p)] = [ord(c) for c in p]
         self._learn_merges(n)
         #: Pairs of characters that stand together in some piece.
@@ -159,8 +162,6 @@ class Codec:
 
     def parts(self, word: str) -> list[str]:
         """A long word cut where no merge can cross."""
-        if len(word) <= LONGEST_CACHED:
-            return [word]
         points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         code = points[:-1] << 21 | points[1:]
         at = np.minimum(np.searchsorted(self.inner, code), len(self.inner) - 1)
@@ -272,17 +273,26 @@ class Codec:
 
     def encode_normal(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts in normal form."""
-        split = [[part for word in _WORD.findall(t) for part in self.parts(word)] for t in texts]
+        split = [_WORD.findall(t) for t in texts]
         used = set().union(*split)
         new = list(used - self.cache.keys())
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(used)
-        self.cache.update(zip(new, self.encode_words(new), strict=True))
-        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4") for words in split]
+        # Parts of the long words go with the other words.
+        short, long = [], []
         for w in new:
-            if len(w) > LONGEST_CACHED:
-                del self.cache[w]
+            (short if len(w) <= LONGEST_CACHED else long).append(w)
+        cut = [self.parts(w) for w in long]
+        found = self.encode_words([*short, *itertools.chain.from_iterable(cut)])
+        self.cache.update(zip(short, found, strict=False))
+        at = len(short)
+        for w, parts in zip(long, cut, strict=True):
+            self.cache[w] = b"".join(found[at : at + len(parts)])
+            at += len(parts)
+        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4") for words in split]
+        for w in long:
+            del self.cache[w]
         return out
 
     def decode(self, ids) -> str:

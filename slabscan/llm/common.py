@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import re
 import uuid
 
@@ -54,6 +55,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def tidy(run):
+    """A function of record batches that gives memory back once its task is done, as workers live on and wait beside the JVM."""
+
+    def tidied(batches):
+        yield from run(batches)
+        POWERS.shrink()
+        pa.default_memory_pool().release_unused()
+        # Only glibc has it, and only there freed memory stays with the process.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 #: The tables of the scopes that are open in this thread, innermost last.
 _SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("slabscan_scopes", default=())
 
@@ -204,6 +220,9 @@ class PowerTable:
     INVERSE = pow(BASE, -1, 1 << 64)
 
     def __init__(self):
+        self.shrink()
+
+    def shrink(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 

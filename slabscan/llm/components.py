@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import scratch, stored
+from slabscan.llm.common import scratch, stored, tidy
 
 #: Edges that a task contracts at once.
 EDGES = 1 << 20
@@ -57,7 +57,7 @@ def _contracted(edges: DataFrame, parts: int) -> DataFrame:
         other = np.flatnonzero(root != np.arange(len(nodes)))
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(other)), nodes.take(pa.array(root[other]))], names=["u", "v"])
 
-    return edges.coalesce(parts).mapInArrow(run, edges.schema)
+    return edges.coalesce(parts).mapInArrow(tidy(run), edges.schema)
 
 
 def _star(pairs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slabscan.llm.common import bound_batches, stored
+from slabscan.llm.common import bound_batches, stored, tidy
 from slabscan.llm.components import connected_components, roots
 
 COSINE = 0.93
@@ -175,7 +175,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(some), d, np.int32)), pa.ListArray.from_arrays(at, pa.array(near.ravel()))], names=["_label", "_rep", "_n", "_vec", "_d", "_prefix"])
 
     schema = T.StructType([*named.schema.fields, T.StructField("_d", T.IntegerType()), T.StructField("_prefix", T.ArrayType(T.IntegerType()))])
-    described = stored(named.mapInArrow(describe, schema))
+    described = stored(named.mapInArrow(tidy(describe), schema))
     entries = described.select("*", F.posexplode("_prefix").alias("_rank", "_pivot")).withColumn("_home", F.col("_rank") == 0).drop("_rank")
     key = ["_label", "_d", "_pivot"]
     # One row for each list of several parts, so at most one for `part` entries.
@@ -231,7 +231,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         if held:
             yield solve(held)
 
-    found = stored(ordered.mapInArrow(link, "a long, links long, b long"))
+    found = stored(ordered.mapInArrow(tidy(link), "a long, links long, b long"))
     groups = connected_components(found)
     counts = found.groupBy("a").agg(F.sum("links").alias("_links"))
     state = classes.select("_rep", "_label", "_vec", "_n", "_low").join(counts.hint("merge"), F.col("_rep") == F.col("a"), "left").join(groups.hint("merge"), F.col("_rep") == F.col("node"), "left")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slabscan.llm.common import POWERS, bound_batches, in_files, mix64, places, rows_at, scratch, split_batch, stored, text_bytes, without_rows
+from slabscan.llm.common import POWERS, bound_batches, in_files, mix64, places, rows_at, scratch, split_batch, stored, text_bytes, tidy, without_rows
 from slabscan.llm.components import connected_components
 
 WORDS = 5
@@ -155,7 +155,7 @@ def sketches(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array(number.astype(np.int64)), lists], names=[*keep, "_class", "_check", "_words", "_bands"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _jaccard_verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -194,7 +194,7 @@ def _jaccard_verify(pairs: DataFrame, texts: DataFrame, words: int, similarity:
                         found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -299,10 +299,10 @@ def _profiles(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 shared.append(np.bincount(rest % SLICES, minlength=SLICES).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(shared, pa.list_(pa.int32()))], names=["_class", "_n", "_o", "_shared"])
 
-    sets = stored(texts.join(classes.hint("merge"), "_class", "left_semi").select("_class", "_text").mapInArrow(run, "_class long, _s array<long>"))
+    sets = stored(texts.join(classes.hint("merge"), "_class", "left_semi").select("_class", "_text").mapInArrow(tidy(run), "_class long, _s array<long>"))
     alone = sets.select("_class", F.explode("_s").alias("_s")).groupBy("_s").agg(F.min("_class").alias("_class"), F.count(F.lit(1)).alias("_n"))
     own = alone.where("_n = 1").groupBy("_class").agg(F.collect_list("_s").alias("_alone"))
-    return sets.join(own.hint("merge"), "_class", "left").select("_class", "_s", "_alone").mapInArrow(count, "_class long, _n int, _o int, _shared array<int>")
+    return sets.join(own.hint("merge"), "_class", "left").select("_class", "_s", "_alone").mapInArrow(tidy(count), "_class long, _n int, _o int, _shared array<int>")
 
 
 def _leaders(others: DataFrame) -> DataFrame:

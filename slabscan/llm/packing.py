@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import split_batch, stored
+from slabscan.llm.common import split_batch, stored, tidy
 
 CAPACITY = 2048
 PIECE_TOKENS = 512
@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None =
                     rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, piece_tokens)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:

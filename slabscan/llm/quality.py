@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import bound_batches, split_batch, stored
+from slabscan.llm.common import bound_batches, split_batch, stored, tidy
 
 LABELLERS = ("length", "symbols", "word_length", "repeated_lines", "digits", "endings", "variety")
 BUCKETS = 1 << 14
@@ -132,7 +132,7 @@ def _patterns(docs: DataFrame, text_col: str) -> DataFrame:
                 found = [votes(t or "", (t or "").split()) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["pattern"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "pattern string")
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(tidy(run), "pattern string")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                 held.append((at.values.to_numpy(), value.values.to_numpy(zero_copy_only=False), label))
         yield pa.RecordBatch.from_arrays([pa.array([train(held)], pa.list_(pa.float64()))], names=["w"])
 
-    sample = stored(rows.mapInArrow(describe, "_key long, label double, at array<int>, value array<float>"))
-    found = sample.repartition(1).sortWithinPartitions("_key", "label").mapInArrow(learn, "w array<double>").collect()
+    sample = stored(rows.mapInArrow(tidy(describe), "_key long, label double, at array<int>, value array<float>"))
+    found = sample.repartition(1).sortWithinPartitions("_key", "label").mapInArrow(tidy(learn), "w array<double>").collect()
     w = np.array(found[0].w) if found else np.zeros(BUCKETS + 1)
     return QualityModel(posterior, w[1:], float(w[0]))
 
@@ -197,5 +197,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64())))], names=["doc_id", "votes", "posterior", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(run, "doc_id long, votes string, posterior double, score double")
+    out = rows.mapInArrow(tidy(run), "doc_id long, votes string, posterior double, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import bound_batches, split_batch
+from slabscan.llm.common import bound_batches, split_batch, tidy
 
 SPACE = "▁"
 #: A word: spaces, then everything up to the next space.  No piece has a space after another character.
@@ -330,4 +330,4 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, crc, pa.array(same, pa.bool_())], names=["doc_id", "ids", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, ids_crc32 long, round_trip boolean")

@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import POWERS, bound_batches, drop_path, mix64, row_key, scratch, shared_dir, split_batch, stored, text_bytes
+from slabscan.llm.common import POWERS, bound_batches, drop_path, mix64, row_key, scratch, shared_dir, split_batch, stored, text_bytes, tidy
 
 LENGTH = 200
 GRAM = 72
 #: Bytes of a text that are searched for anchors at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Contexts of one gram that are sorted together; larger groups are sorted for each pair of such parts.
 PART = 4096
 #: Parts of one gram's contexts beyond which their strings are hashed.
@@ -199,7 +199,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(k[s]), pa.array(t[s]), pa.array(pos + a), pa.array(h), pa.array(c, pa.int64()), pa.array(d, pa.int32()), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))], names=["_k", "_t", "pos", "h", "c", "d", "l", "r"])
 
     first = shared_dir(spark)
-    found = stored(rows.mapInArrow(find, schema), first)
+    found = stored(rows.mapInArrow(tidy(find), schema), first)
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
     again = stored(again)
     at = stored(found.join(again.hint("merge"), "h"))
@@ -232,7 +232,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def contexts_of(wanted: DataFrame) -> DataFrame:
         per_text = wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("h", "_n", "_parts", "pos", "l", "r")).alias("_at"))
         one_each = rows.join(per_text.hint("merge"), ["_k", "_t"]).select("_k", "_t", "_at", "_text")
-        return one_each.mapInArrow(cut, context_schema)
+        return one_each.mapInArrow(tidy(cut), context_schema)
 
     contexts = contexts_of(wanted.where(F.col("_parts") <= most_parts))
     # A context of a large group goes to every pair of parts that has its own part.
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if pending:
             yield solve(pending)
 
-    parts = stored(ordered.mapInArrow(sort, "_k long, _t long, start long, end long"))
+    parts = stored(ordered.mapInArrow(tidy(sort), "_k long, _t long, start long, end long"))
     _release(spark)
     if mixed.where(F.col("_parts") > most_parts).isEmpty():
         return spans.unionByName(parts)
@@ -282,7 +282,7 @@ def _strings_by_hash(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in split_batch(batch, "context", SEGMENT >> 2):
+            for piece in split_batch(batch, "context", SEGMENT >> 1):
                 digests, at, owner = [], [], []
                 for i, (context, pos, left) in enumerate(zip(piece.column(7).to_pylist(), piece.column(5).to_pylist(), piece.column(6).to_pylist(), strict=True)):
                     last = min(left, len(context) - length)
@@ -293,7 +293,7 @@ def _strings_by_hash(contexts: DataFrame, length: int) -> DataFrame:
                 kept = [np.asarray(piece.column(c))[owner] if owner else np.zeros(0, np.int64) for c in (1, 3, 4)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (both[:, 0], both[:, 1], *kept, np.array(at, np.int64))], names=names)
 
-    strings = stored(contexts.mapInArrow(run, ", ".join(f"{n} long" for n in names)))
+    strings = stored(contexts.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names)))
     # A string that two anchors of one text share is at one place.
     place = F.struct("_k", "_t", "start")
     again = strings.groupBy("w", "v").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a != _b").select("w", "v")
@@ -354,7 +354,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), kind, pa.string()))], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     named = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return _with_spans(named, "_id", "_text", ["_id"], length, gram, part, most_parts).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _with_spans(named, "_id", "_text", ["_id"], length, gram, part, most_parts).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
@@ -374,6 +374,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc = rows.schema["_doc"].dataType
     from pyspark.sql import types as T
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField("_doc", doc), T.StructField("_text", T.StringType())]))
+    out = rows.mapInArrow(tidy(run), T.StructType([T.StructField("_doc", doc), T.StructField("_text", T.StringType())]))
     new = {text_col: F.when(F.col(f"_doc.{text_col}").isNotNull(), F.col("_text")), count_col: F.char_length("_text").cast("bigint")}
     return out.select(*(new.get(c, F.col(f"_doc.{c}")).alias(c) for c in columns))

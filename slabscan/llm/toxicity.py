@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabscan.llm.common import bound_batches, mix64, split_batch, stored
+from slabscan.llm.common import bound_batches, mix64, split_batch, stored, tidy
 
 WORD = re.compile(r"\w+")
 #: Bounds of the model: labelled rows that are learned from, tokens with a weight.
@@ -137,7 +137,7 @@ def _copies(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 keys = np.concatenate([sketches(WORD.findall((t or "").lower()), y) for t, y in texts])
                 yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
-    found = rows.select("text", "_toxic").mapInArrow(run, "key long").groupBy("key").count().where("count > 1").toArrow()
+    found = rows.select("text", "_toxic").mapInArrow(tidy(run), "key long").groupBy("key").count().where("count > 1").toArrow()
     keys, counts = (found.column(c).to_numpy() for c in ("key", "count"))
     order = np.argsort(keys)
     return keys[order], counts[order].astype(np.int32)
@@ -195,7 +195,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
                     yield rows_of()
         yield rows_of()
 
-    parts = rows.select("text", "_toxic").mapInArrow(run, "token string, toxic_docs long, clean_docs long, in_clean long, toxic_copies double, clean_copies double")
+    parts = rows.select("text", "_toxic").mapInArrow(tidy(run), "token string, toxic_docs long, clean_docs long, in_clean long, toxic_copies double, clean_copies double")
     return parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
@@ -266,7 +266,7 @@ def _segments(rows: DataFrame, model: ToxicModel) -> DataFrame:
                     out.append((label, len(words), [s for _, _, s in scan(words, weights)]))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["label", "tokens", "scores"])
 
-    return rows.select("text", "_toxic").mapInArrow(run, "label int, tokens long, scores array<double>")
+    return rows.select("text", "_toxic").mapInArrow(tidy(run), "label int, tokens long, scores array<double>")
 
 
 def _features(segments: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def _features(segments: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.nd
             x = [model.features(tokens, [(0, 0, s) for s in scores]) for tokens, scores in known]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in x], pa.float64()) for i in range(FEATURES))], names=["label", *(f"f{i}" for i in range(FEATURES))])
 
-    found = segments.mapInArrow(run, "label int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+    found = segments.mapInArrow(tidy(run), "label int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
     return np.column_stack([found.column(f"f{i}").to_numpy() for i in range(FEATURES)]), found.column("label").to_numpy().astype(float)
 
 
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array(passages, passage)], names=["doc_id", "held_out", "score", "passages"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, passages array<struct<start:long,end:long,score:double,expected:double>>")
+    out = rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, passages array<struct<start:long,end:long,score:double,expected:double>>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
@@ -374,4 +374,4 @@ def reject_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text") ->
                     keep.append(model.probability(model.features(len(words), scan(words, model.weights))) < 0.5)
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

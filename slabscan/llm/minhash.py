@@ -7,7 +7,9 @@ arrives first.  Two registers agree with the probability Jaccard of the
 weighted sets.  Arrivals are drawn in rounds and a shingle stops once its time
 exceeds the largest register: later arrivals can't win.
 
-Signatures are cut to bands.  Texts with equal words are one class from the
+Signatures are cut to bands.  A text that repeats shingles also gets the bands
+of its shingle set, each of weight 1; for a text without repeats these are its
+own.  So texts of similar sets meet even if they repeat them differently.  Texts with equal words are one class from the
 start.  Every class is verified against the smallest one of each of its
 buckets by the exact Jaccard similarity of the shingle sets.  What is then
 still apart from a bucket's largest component is compared with a few of its
@@ -137,6 +139,18 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS
     return mix64(out + np.arange(bands, dtype=np.uint64))
 
 
+def buckets_of(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, bucket): the bands by weight and, for texts that repeat shingles, those of the plain set."""
+    weighted = band_hashes(prob_minhash(owner, shingle, 1 + np.log(count), n, bands * rows), bands, rows)
+    repeats = np.zeros(n, bool)
+    repeats[owner[count > 1]] = True
+    again = repeats[owner]
+    number = np.cumsum(repeats) - 1
+    plain = band_hashes(prob_minhash(number[owner[again]], shingle[again], np.ones(again.sum()), repeats.sum(), bands * rows), bands, rows)
+    text = np.repeat(np.concatenate([np.arange(n), np.flatnonzero(repeats)]), bands)
+    return weighted_sets(text, np.concatenate([weighted.ravel(), plain.ravel()]))[:2]
+
+
 def sketches(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """The columns ``keep``, ``_class`` (a hash of all words; 0 without words), ``_check`` (its other half), ``_words`` and ``_bands`` of each row."""
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
@@ -150,9 +164,9 @@ def sketches(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
                 owner, shingle, whole = shingles(data, offsets, words)
                 number = np.bincount(owner, minlength=n)
                 owner, shingle, count = weighted_sets(owner, shingle)
-                signature = prob_minhash(owner, shingle, 1 + np.log(count), n, bands * band_rows)
-                hashes = band_hashes(signature, bands, band_rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
+                text, bucket = buckets_of(owner, shingle, count, n, bands, band_rows)
+                at = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array(number.astype(np.int64)), lists], names=[*keep, "_class", "_check", "_words", "_bands"])
 
     return rows.mapInArrow(tidy(run), schema)

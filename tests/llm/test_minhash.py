@@ -106,6 +106,28 @@ def test_same_as_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_equal_sets_meet_however_often_they_repeat(spark):
+    words = [[f"w{i}_{j}" for j in range(100)] for i in range(300)]
+    plain = [" ".join(w) for w in words]
+    often = [" ".join(w[:50] * 50 + w[50:]) for w in words]
+    docs = spark.createDataFrame(list(enumerate(plain + often)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i % 300 for i in range(600)}
+
+
+def test_buckets_of_a_text_are_distinct_and_the_same_anywhere():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(1, 2**63, k, dtype=np.uint64)) for k in (30, 7, 30)]
+    owner, shingle = np.repeat(np.arange(3), [len(s) for s in sets]), np.concatenate(sets)
+    count = np.where(owner == 2, 1 + shingle % np.uint64(5), 1).astype(np.int64)
+    text, bucket = minhash.buckets_of(owner, shingle, count, 4)
+    assert len(set(zip(text.tolist(), bucket.tolist(), strict=True))) == len(text)
+    assert (text == 0).sum() == (text == 1).sum() == (text == 3).sum() == minhash.BANDS and (text == 2).sum() > minhash.BANDS
+    for i, s in enumerate(sets):
+        alone, own = minhash.buckets_of(np.zeros(len(s), int), s, count[owner == i], 1)
+        assert own.tolist() == bucket[text == i].tolist()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -108,9 +108,17 @@ def flight_day(date: Column) -> Column:
 
 
 def timestamp_of(millis: Column) -> Column:
-    """Milliseconds from 1970 as a TIMESTAMP_NTZ, whatever the session's zone."""
-    seconds = (millis / F.lit(1000)).cast("decimal(18,6)")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    """Milliseconds from 1970 as a TIMESTAMP_NTZ, whatever the session's zone; exact for all that the type holds."""
+    rest = F.pmod(millis, F.lit(86_400_000))
+    days = ((millis - rest) / F.lit(86_400_000)).cast("int")
+    seconds = (rest.cast("decimal(18,6)") / F.lit(1000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=days, secs=seconds)
+
+
+def print_timestamp(at: Column) -> Column:
+    """A TIMESTAMP_NTZ with milliseconds; a year beyond 9999 has no sign."""
+    whole = F.substring_index(F.ltrim(at.cast("string"), F.lit("+")), ".", 1)
+    return F.concat(whole, F.date_format(at, ".SSS"))
 
 
 def parse_date(text: Column) -> Column:

@@ -284,7 +284,7 @@ SELECT {_KEYS}, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, leng
     ),
     **_scalar(
         "f_timestamp",
-        lambda: {"at": F.date_format(S.timestamp_of(F.col("l_orderkey") * 86_400_123), "yyyy-MM-dd HH:mm:ss.SSS"), "later": S.timestamp_of(F.col("l_orderkey") * 1000) < S.timestamp_of(F.col("l_orderkey") * 1000 + 1)},
+        lambda: {"at": S.print_timestamp(S.timestamp_of(F.col("l_orderkey") * 86_400_123)), "later": S.timestamp_of(F.col("l_orderkey") * 1000) < S.timestamp_of(F.col("l_orderkey") * 1000 + 1)},
         "strftime(make_timestamp(l_orderkey * 86400123 * 1000), '%Y-%m-%d %H:%M:%S.%g') AS at, true AS later",
     ),
     **_scalar(

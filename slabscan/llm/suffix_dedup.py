@@ -35,6 +35,8 @@ GRAM = 72
 SEGMENT = 1 << 19
 #: Contexts of one gram that are sorted together; larger groups are sorted for each pair of such parts.
 PART = 4096
+#: Bytes of contexts of several groups that are sorted at once; a sort takes some forty times as much memory.
+SORTED = 1 << 20
 #: Parts of one gram's contexts beyond which their strings are hashed.
 MOST_PARTS = 8
 
@@ -172,6 +174,51 @@ def _runs(row: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
+def _begins(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row's first three columns, which name its group, differ from those of the row before."""
+    names = [rows.column(i).to_numpy() for i in range(3)]
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([n[1:] != n[:-1] for n in names], axis=0)
+    return new
+
+
+def whole_groups(batches, limit: int = SORTED):
+    """The rows in batches of whole groups that have at most ``limit`` bytes of contexts (the last column), or a single group."""
+
+    def cut(parts):
+        for rows in pa.Table.from_batches(parts).combine_chunks().to_batches():
+            at = np.append(np.flatnonzero(_begins(rows)), len(rows))
+            size = text_bytes(rows.column(rows.num_columns - 1))[1][at]
+            i = 0
+            while i < len(at) - 1:
+                j = max(i + 1, int(np.searchsorted(size, size[i] + limit, side="right")) - 1)
+                yield rows.slice(int(at[i]), int(at[j] - at[i]))
+                i = j
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        # The last group may go on in the next batch.
+        end = int(np.flatnonzero(_begins(batch))[-1])
+        if end or held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(3)):
+            yield from cut([*held, batch.slice(0, end)])
+            held = []
+        held.append(batch.slice(end))
+    if held:
+        yield from cut(held)
+
+
+def spans_of_groups(batches, length: int = LENGTH, gram: int = GRAM):
+    """(_k, _t, start, end) of the strings that contexts share with others of their group, from rows of (three columns of the group, _n, _k, _t, pos, l, context) in the order of groups."""
+    for rows in whole_groups(batches):
+        n, k, t, pos, left = (rows.column(i).to_numpy().astype(np.int64) for i in range(3, 8))
+        # Contexts that repeat as a whole are covered, but others are compared with them.
+        hit = repeated_strings(rows.column(8).to_pylist(), left, np.cumsum(_begins(rows)), length, gram)
+        out = [(k[i], t[i], pos[i] - (length - gram) + a, pos[i] - (length - gram) + b + length) for i in np.flatnonzero((n == 1) & hit.any(axis=1)) for a, b in _runs(hit[i])]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["_k", "_t", "start", "end"])
+
+
 def _release(spark) -> None:
     """Lets Spark delete shuffle files that no DataFrame needs any more; results don't depend on it."""
     gc.collect()
@@ -239,35 +286,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.pmod(F.xxhash64("_k", "_t", "pos"), F.col("_parts")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("a"), F.greatest(p, F.col("_own")).alias("b"))))
     dealt = contexts.withColumn("_own", own).select("h", "_n", "_k", "_t", "pos", "l", "context", pair.alias("_pair"))
-    ordered = dealt.repartition("h", "_pair").sortWithinPartitions("h", "_pair")
-
-    def sort(batches):
-        pending: list[dict] = []
-
-        def solve(group_rows):
-            names = [(r["h"], r["_pair"]["a"], r["_pair"]["b"]) for r in group_rows]
-            group = np.cumsum([0] + [int(x != y) for x, y in zip(names[1:], names[:-1], strict=True)])
-            left = np.array([r["l"] for r in group_rows], np.int64)
-            # Contexts that repeat as a whole are covered, but others are compared with them.
-            hit = repeated_strings([r["context"] for r in group_rows], left, group, length, gram)
-            out = [(r["_k"], r["_t"], r["pos"] - (length - gram) + a, r["pos"] - (length - gram) + b + length) for r, row in zip(group_rows, hit, strict=True) if r["_n"] == 1 for a, b in _runs(row)]
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["_k", "_t", "start", "end"])
-
-        for batch in batches:
-            pending += batch.to_pylist()
-            # Whole groups only: the last one may go on in the next batch.
-            if len(pending) > 2 * PART:
-                tail = (pending[-1]["h"], pending[-1]["_pair"])
-                keep = len(pending)
-                while keep and (pending[keep - 1]["h"], pending[keep - 1]["_pair"]) == tail:
-                    keep -= 1
-                if keep:
-                    yield solve(pending[:keep])
-                    pending = pending[keep:]
-        if pending:
-            yield solve(pending)
-
-    parts = stored(ordered.mapInArrow(tidy(sort), "_k long, _t long, start long, end long"))
+    ordered = dealt.repartition("h", "_pair").sortWithinPartitions("h", "_pair").select("h", "_pair.a", "_pair.b", "_n", "_k", "_t", "pos", "l", "context")
+    parts = stored(ordered.mapInArrow(tidy(lambda batches: spans_of_groups(batches, length, gram)), "_k long, _t long, start long, end long"))
     _release(spark)
     if mixed.where(F.col("_parts") > most_parts).isEmpty():
         return spans.unionByName(parts)
@@ -346,12 +366,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text, spans = text.as_py(), merged(spans)
-                rest = _rest(text, spans)
-                out.append((doc["_id"], len(text), len(text) - len(rest), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(rest).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), kind, pa.string()))], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+            for piece in split_batch(batch, "_text", SEGMENT):
+                out = []
+                for doc, spans, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), strict=True):
+                    text, spans = text.as_py(), merged(spans)
+                    rest = _rest(text, spans)
+                    out.append((doc["_id"], len(text), len(text) - len(rest), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(rest).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), kind, pa.string()))], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     named = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     return _with_spans(named, "_id", "_text", ["_id"], length, gram, part, most_parts).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
@@ -367,8 +388,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            texts = [_rest(text.as_py(), merged(spans)).decode("utf-8", "ignore") for spans, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
+            for piece in split_batch(batch, "_text", SEGMENT):
+                texts = [_rest(text.as_py(), merged(spans)).decode("utf-8", "ignore") for spans, text in zip(piece.column(1).to_pylist(), piece.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
     rows = _with_spans(docs, id_col, text_col, columns, LENGTH, GRAM, PART, MOST_PARTS)
     doc = rows.schema["_doc"].dataType

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slabscan.llm import queries
-from slabscan.llm.suffix_dedup import remove_repeats, suffix_dedup, suffix_order
+from slabscan.llm.suffix_dedup import remove_repeats, spans_of_groups, suffix_dedup, suffix_order, whole_groups
 
 
 def brute(rows, length=200):
@@ -62,6 +64,45 @@ def test_same_as_brute_force(spark, part, most_parts):
     assert got == brute(rows)
 
 
+def contexts(groups):
+    """Rows of groups of contexts around equal grams, of which every other one has the same right side too."""
+    rng = random.Random(7)
+    word = lambda n: rng.randbytes(n)
+    rows = []
+    for g, size in enumerate(groups):
+        gram, right = word(72), word(128)
+        rows += [(g // 3, g % 3, 0, 1, g, i, 1000, 128, word(128) + gram + (right if i % 2 else word(128))) for i in range(size)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int16(), pa.binary()]
+    names = ["h", "a", "b", "_n", "_k", "_t", "pos", "l", "context"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 40, 1000])
+@pytest.mark.parametrize("limit", [1, 2000, 1 << 20])
+def test_groups_stay_whole(step, limit):
+    groups = [2, 2, 9, 30, 2, 3, 50, 2]
+    rows = contexts(groups)
+    batches = [rows.slice(a, step) for a in range(0, len(rows), step)]
+    got = list(whole_groups([*batches[:2], rows.slice(0, 0), *batches[2:]], limit))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([rows]))
+    of = [sorted(set(b.column(4).to_pylist())) for b in got]
+    assert [g for b in of for g in b] == list(range(len(groups)))
+    assert all(len(b) == 1 or sum(groups[g] for g in b) * 328 <= limit for b in of)
+
+
+def test_memory_of_many_groups():
+    """An executor's workers live beside its JVM, so that a batch of many small groups must not be sorted at once."""
+    rows = contexts([4] * 5000)
+    tracemalloc.start()
+    try:
+        spans = sum(len(b) for b in spans_of_groups([rows.slice(0, 10_000), rows.slice(10_000)]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert spans == 10_000
+    assert peak < 80e6
+
+
 def test_long_text_and_stage(spark):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefghij") for _ in range(2_400_000))

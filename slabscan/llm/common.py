@@ -241,8 +241,14 @@ class PowerTable:
         return out
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """``prefix_of`` for bytes."""
-        return self.prefix_of(_BYTES[data])
+        """``prefix_of`` for bytes, without other arrays of its size."""
+        self.reach(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        sums = out[1:]
+        np.take(_BYTES, data, out=sums, mode="clip")
+        sums *= self.up[: len(data)]
+        np.cumsum(sums, out=sums)
+        return out
 
     def prefix_of(self, values: np.ndarray) -> np.ndarray:
         """S with hash(a, b) = (S[b] - S[a]) * down[a]; equal subsequences have equal hashes anywhere."""

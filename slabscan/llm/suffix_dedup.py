@@ -35,7 +35,7 @@ GRAM = 72
 SEGMENT = 1 << 19
 #: Contexts of one gram that are sorted together; larger groups are sorted for each pair of such parts.
 PART = 4096
-#: Bytes of contexts of several groups that are sorted at once; a sort takes some forty times as much memory.
+#: Bytes of contexts of several groups that are sorted at once; a sort takes some thirty times as much memory.
 SORTED = 1 << 20
 #: Parts of one gram's contexts beyond which their strings are hashed.
 MOST_PARTS = 8
@@ -128,7 +128,7 @@ def common_extensions(data: np.ndarray, start: np.ndarray, size: np.ndarray, gro
     """The common bytes of each suffix with the one before it, from the bytes themselves."""
     out = np.full(len(start), -1, np.int64)
     same = np.flatnonzero(group[1:] == group[:-1]) + 1
-    for part in np.array_split(same, len(same) // 4096 + 1):
+    for part in np.array_split(same, len(same) // 1024 + 1):
         if not len(part):
             continue
         n = np.minimum(size[part], size[part - 1])
